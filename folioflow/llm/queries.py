@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat
+from folioflow.llm import chat, mixing, quality
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
+    "op2_pivotal_mix": mixing.op2_pivotal_mix,
+    "op3_host_quality": quality.op3_host_quality,
 }
 
 ORACLE_SQL = {
     "op1_chat_prefix_targets": chat.OP1_SQL,
+    "op3_host_quality": quality.OP3_SQL,
 }
