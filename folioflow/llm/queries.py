@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, mixing, quality
+from folioflow.llm import bpe, chat, mixing, quality
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_pivotal_mix": mixing.op2_pivotal_mix,
     "op3_host_quality": quality.op3_host_quality,
+    "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
 }
 
 ORACLE_SQL = {
