@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, mixing, quality
+from folioflow.llm import bpe, chat, lines, mixing, quality
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_pivotal_mix": mixing.op2_pivotal_mix,
     "op3_host_quality": quality.op3_host_quality,
+    "op5_line_spread": lines.op5_line_spread,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
 }
 
 ORACLE_SQL = {
     "op1_chat_prefix_targets": chat.OP1_SQL,
     "op3_host_quality": quality.OP3_SQL,
+    "op5_line_spread": lines.OP5_SQL,
 }
