@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, lines, mixing, quality
+from folioflow.llm import bpe, chat, embedding, lines, mixing, quality
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_host_quality": quality.op3_host_quality,
     "op5_line_spread": lines.op5_line_spread,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op9_hyperplane_near_dup": embedding.op9_hyperplane_near_dup,
 }
 
 ORACLE_SQL = {
     "op1_chat_prefix_targets": chat.OP1_SQL,
     "op3_host_quality": quality.OP3_SQL,
     "op5_line_spread": lines.OP5_SQL,
+    "op9_hyperplane_near_dup": embedding.OP9_SQL,
 }
