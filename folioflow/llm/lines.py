@@ -58,11 +58,14 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     sites = cut(sites.where(F.col("about") >= min_sites * (1 - band)), "sites")
     sure = sites.where(F.col("about") > min_sites * (1 + band)).select("line", "first")
     near = sites.where(F.col("about") <= min_sites * (1 + band)).select("line", "first")
+    asked = near.select("line")
+    pairs = lines.where(F.col("source").isNotNull()).select("line", "source")
+    if asked.count() <= BROADCAST_LINES:
+        pairs = pairs.join(F.broadcast(asked), "line", "left_semi").distinct()
+    else:  # the rows of a line and site are combined before they meet the lines
+        pairs = pairs.distinct().join(asked, "line", "left_semi")
     exact = (
-        lines.where(F.col("source").isNotNull())
-        .select("line", "source")
-        .join(near.select("line"), "line", "left_semi")
-        .distinct()
+        pairs
         .groupBy("line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_sites)

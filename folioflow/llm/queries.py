@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, embedding, lines, mixing, quality
+from folioflow.llm import bpe, chat, embedding, lines, mixing, quality, toxicity
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
     "op2_pivotal_mix": mixing.op2_pivotal_mix,
     "op3_host_quality": quality.op3_host_quality,
+    "op4_toxicity_chain": toxicity.op4_toxicity_chain,
     "op5_line_spread": lines.op5_line_spread,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op9_hyperplane_near_dup": embedding.op9_hyperplane_near_dup,
