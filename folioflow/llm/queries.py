@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, embedding, lines, mixing, quality, toxicity
+from folioflow.llm import bpe, chat, embedding, lines, mixing, near, quality, toxicity
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity_chain": toxicity.op4_toxicity_chain,
     "op5_line_spread": lines.op5_line_spread,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op8_bagminhash_near_dup": near.op8_bagminhash_near_dup,
     "op9_hyperplane_near_dup": embedding.op9_hyperplane_near_dup,
 }
 
