@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, embedding, lines, mixing, near, quality, toxicity
+from folioflow.llm import bpe, chat, embedding, lines, mixing, near, quality, substrings, toxicity
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_host_quality": quality.op3_host_quality,
     "op4_toxicity_chain": toxicity.op4_toxicity_chain,
     "op5_line_spread": lines.op5_line_spread,
+    "op6_suffix_array_dedup": substrings.op6_suffix_array_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op8_bagminhash_near_dup": near.op8_bagminhash_near_dup,
     "op9_hyperplane_near_dup": embedding.op9_hyperplane_near_dup,
