@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, chat, embedding, lines, mixing, near, quality, substrings, toxicity
+from folioflow.llm import bpe, chat, embedding, lines, maxent, mixing, near, quality, substrings, toxicity
 
 QUERIES = {
     "op1_chat_prefix_targets": chat.op1_chat_prefix_targets,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op8_bagminhash_near_dup": near.op8_bagminhash_near_dup,
     "op9_hyperplane_near_dup": embedding.op9_hyperplane_near_dup,
+    "op10_maxent_scores": maxent.op10_maxent_scores,
 }
 
 ORACLE_SQL = {
