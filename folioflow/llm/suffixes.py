@@ -4,7 +4,8 @@
 substrings by inducing, names them, sorts the string of names recursively, and induces the whole array from that
 order. On bytes the inducing goes bucket by bucket: everything a bucket holds is taken in waves, one wave for each
 step of a run of equal bytes, and dealt to the later buckets by a stable radix sort. So each suffix is moved once a pass. The
-strings of names have large alphabets and are sorted one by one.
+strings of names have large alphabets; their arrays are scanned in steps, each as long as it doesn't reach into places that it
+fills itself.
 """
 
 from __future__ import annotations
@@ -96,65 +97,83 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(named[-1]) + 1 if len(named) else 0
 
 
-def _one_by_one(s: list[int], size: int) -> list[int]:
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys stand before each."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.append(True, k[1:] != k[:-1])
+    at = np.arange(len(k))
+    out = np.empty(len(k), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return out
+
+
+def _induce_far(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same inducing over a large alphabet, in steps of many suffixes.
+
+    The scan goes along the array. A step takes what stands before the first place that this step itself would fill, and
+    so puts everything in the order of the scan; with large alphabets such places are far ahead. ``ends`` has the ends of the
+    buckets.
+    """
+    n = len(s)
+    sa = np.full(n, -1, np.int64)
+    tail = ends.copy()
+    back = lms[::-1]
+    key = s[back]
+    sa[tail[key] - 1 - _ranks(key)] = back
+    for side in (1, -1):
+        free = np.concatenate(([0], ends[:-1])) if side > 0 else ends - 1
+        flag = small if side < 0 else ~small
+        at, step = (0, 512) if side > 0 else (n - 1, 512)
+        if side < 0:
+            free = free.copy()
+            sa[small[np.maximum(sa, 0)] & (sa >= 0)] = -1  # the seeds give way to the smaller suffixes induced
+            sa[0] = n - 1
+            free[s[n - 1]] -= 1
+        while 0 <= at < n:
+            to = min(n, at + step) if side > 0 else max(-1, at - step)
+            block = sa[at:to] if side > 0 else sa[to + 1 : at + 1][::-1]
+            j = block - 1
+            ok = (j >= 0) & (block >= 0)
+            ok[ok] = flag[j[ok]]
+            where, j = np.flatnonzero(ok), j[ok]
+            if len(j):
+                key = s[j]
+                goal = free[key] + side * _ranks(key)
+                near = (goal < to) if side > 0 else (goal > to)
+                if near.any():
+                    # Stop before the nearest place that is filled from here; what comes to stand there is read later.
+                    stop = int(goal[near].min() if side > 0 else goal[near].max())
+                    keep = where < abs(stop - at)
+                    j, key, goal = j[keep], key[keep], goal[keep]
+                    to = stop
+                    step = max(32, step // 2)
+                else:
+                    step = min(8192, step * 2)
+                sa[goal] = j
+                np.add.at(free, key, side)
+            else:
+                step = min(8192, step * 2)
+            at = to
+    return sa
+
+
+def _large_alphabet(s: np.ndarray, size: int) -> np.ndarray:
     """Induced sorting of a string over 0..size-1 whose last character is its only 0."""
     n = len(s)
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        if s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1]):
-            small[i] = 1
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    count = [0] * size
-    for c in s:
-        count[c] += 1
-    heads, tails, total = [0] * size, [0] * size, 0
-    for c in range(size):
-        heads[c] = total
-        total += count[c]
-        tails[c] = total
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        to = tails[:]
-        for i in reversed(order):
-            c = s[i]
-            to[c] -= 1
-            sa[to[c]] = i
-        to = heads[:]
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[to[c]] = j
-                to[c] += 1
-        to = tails[:]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                to[c] -= 1
-                sa[to[c]] = j
-        return sa
-
     if n == 1:
-        return [0]
-    isl = bytearray(n)
-    for i in lms:
-        isl[i] = 1
-    sa = induce(lms)
-    order = [i for i in sa if i >= 0 and isl[i]]
-    end = {a: b for a, b in zip(lms, [*lms[1:], n - 1], strict=True)}
-    names, name, last = {}, -1, None
-    for i in order:
-        part = s[i : end[i] + 1]
-        if part != last:
-            name += 1
-            last = part
-        names[i] = name
-    if name + 1 < len(order):
-        order = [lms[i] for i in _one_by_one([names[i] for i in lms], name + 1)]
-    return induce(order)
+        return np.zeros(1, np.int64)
+    small = _types(s)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    ends = np.cumsum(np.bincount(s, minlength=size))
+    first = _induce_far(s, small, lms, ends)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    order = first[is_lms[first]]
+    names, distinct = _names(s, lms, order)
+    if distinct < len(lms):
+        order = lms[_large_alphabet(names, distinct)]
+    return _induce_far(s, small, order, ends)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -173,7 +192,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     order = first[is_lms[first]]
     names, distinct = _names(t, lms, order)
     if distinct < len(lms):
-        order = lms[np.array(_one_by_one(names.tolist(), distinct), dtype=np.int64)]
+        order = lms[_large_alphabet(names, distinct)]
     return _induce(t, small, order, 257)[1:]
 
 
