@@ -7,7 +7,9 @@ strings must meet in one:
    first. The anchor depends on the string alone, so equal strings have equal anchors at the same place. A run of
    starts with one anchor is a segment. Only hashes of anchors and segments are shuffled.
 2. An anchor that occurs once can't be in a repeated string, and its segments are done. Equal segments are counted by
-   aggregation and go on as one. What is left are anchors with several different segments.
+   aggregation and go on as one. What is left are anchors with several different segments. A string reaches ``reach()`` bytes
+   beyond its anchor on one side at least, so a segment that shares neither the bytes before nor those behind its anchor
+   with another one of the anchor is done, too.
 3. These segments' bytes are dealt to shards by anchor, and each shard is one suffix array, induced linearly, with
    permuted common prefixes; a start with a neighbour that agrees in ``LENGTH`` bytes is repeated. Segments are separated
    by the byte 0xFF, which UTF-8 has nowhere, so no match runs from one segment into the next.
@@ -35,6 +37,13 @@ from folioflow.llm.components import runs
 from folioflow.llm.suffixes import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
+
+
+def reach() -> int:
+    """A string has so many bytes on one side of its anchor at least."""
+    return (LENGTH - GRAM) // 2
+
+
 #: Segments of one anchor in a chunk, bytes in a shard, bytes of text that are hashed at once.
 CHUNK, SHARD_BYTES, BLOCK = 800, 1_000_000, 1 << 22
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -84,7 +93,8 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """start, end (of the starts), anchor and hash of each segment of a document."""
+    """start, end (of the starts), anchor, hash, and hashes of the bytes before and behind the anchor (0: there aren't
+    enough) of each segment of a document."""
     out = []
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
         part = data[at : at + BLOCK + LENGTH - 1]
@@ -98,7 +108,12 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
         end = np.append(start[1:], len(anchor))
         own = anchor[start]
         key = mix(span_hashes(prefix, start, end + LENGTH - 1) + mix((own - start).astype(np.uint64) << np.uint64(32) | (end - start).astype(np.uint64)))
-        out.append((start + at, end + at, grams[own].view(np.int64), key.view(np.int64)))
+        near, size = reach(), len(part)
+        before = np.where(own >= near, span_hashes(prefix, np.maximum(own - near, 0), own) | np.uint64(1), np.uint64(0))
+        last = np.minimum(own + GRAM + near, size)
+        behind = np.where(own + GRAM + near <= size, span_hashes(prefix, own + GRAM, last) | np.uint64(1), np.uint64(0))
+        sides = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) | (x > 0) for x in (before, behind)]
+        out.append((start + at, end + at, grams[own].view(np.int64), key.view(np.int64), *sides))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -107,9 +122,9 @@ def _occurring(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"], strict=True):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             if len(data) >= LENGTH:
-                s, e, anchor, seg = segments(data)
+                s, e, anchor, seg, before, behind = segments(data)
                 yield pd.DataFrame(
-                    {"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * len(s), "Int64"), "text_key": key, "s": s.astype(np.int32), "e": e.astype(np.int32), "anchor": anchor, "seg": seg}
+                    {"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * len(s), "Int64"), "text_key": key, "s": s.astype(np.int32), "e": e.astype(np.int32), "anchor": anchor, "seg": seg, "before": before, "behind": behind}
                 )
 
 
@@ -215,17 +230,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, text_key and text.
     """
-    occ = docs.mapInPandas(_gathered(_occurring), "doc_id long, text_key long, s int, e int, anchor long, seg long")
+    occ = docs.mapInPandas(_gathered(_occurring), "doc_id long, text_key long, s int, e int, anchor long, seg long, before int, behind int")
     occ = cut(occ, "occurrences")
     counts = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segs")).where("n > 1")
     live = cut(occ.join(counts.select("anchor", "segs"), "anchor"), "live")
     drop_cut(occ)
     segs = live.groupBy("anchor", "seg").agg(
-        F.count(F.lit(1)).alias("n"), F.first("segs").alias("segs"), F.min(F.struct("doc_id", "text_key", "s", "e")).alias("rep")
+        F.count(F.lit(1)).alias("n"), F.first("segs").alias("segs"), F.first("before").alias("before"), F.first("behind").alias("behind"), F.min(F.struct("doc_id", "text_key", "s", "e")).alias("rep")
     )
     segs = cut(segs, "segments")
-    open_ = segs.where("segs > 1").withColumn("chunks", F.ceil(F.col("segs") / CHUNK).cast("int"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("x")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("x")))
+    around = segs.where("segs > 1").select("anchor", "seg", F.explode(sides).alias("y")).select("anchor", "seg", "y.side", "y.x").where("x <> 0")
+    shared = around.groupBy("anchor", "side", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    open_ = cut(segs.join(around.join(shared, ["anchor", "side", "x"]).select("anchor", "seg").distinct(), ["anchor", "seg"]), "open")
+    many = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"))
+    open_ = open_.drop("segs").join(many, "anchor").withColumn("chunks", F.ceil(F.col("segs") / CHUNK).cast("int"))
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")).cast("int"))
     asked = open_.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_key")).agg(
         F.collect_list(F.struct("anchor", "seg", "chunk", "chunks", "rep.s", "rep.e")).alias("asked")
