@@ -13,8 +13,11 @@ strings must meet in one:
 3. These segments' bytes are dealt to shards by anchor, and each shard is one suffix array, induced linearly, with
    permuted common prefixes; a start with a neighbour that agrees in ``LENGTH`` bytes is repeated. Segments are separated
    by the byte 0xFF, which UTF-8 has nowhere, so no match runs from one segment into the next.
-4. A hot anchor's segments are cut into chunks of about ``CHUNK``, each in a shard. A chunk's strings that are still
-   single, and one of each repeated one, are then compared across chunks by a 64-bit hash, under their anchor.
+4. A hot anchor, one with over ``CHUNK`` segments, is split by content first: its segments are cut into cells of ``CELL``
+   starts by distance from the anchor, and a cell's anchor is what all its strings have in common, over ``LENGTH - CELL``
+   bytes. Cells are counted like segments; few go to a shard. Where a cell's anchor is still hot, its cells are dealt to
+   chunks of about ``CHUNK``, each in a shard; a chunk's strings that are still single, and one of each repeated
+   one, are then compared across chunks by a 64-bit hash.
 
 Defined results: null text counts as empty; repeated rows are documents of their own and so remove each other if long
 enough; texts under ``LENGTH`` bytes stay; hashes of 64 bits under an equal 64-bit anchor stand for segments; other
@@ -44,8 +47,8 @@ def reach() -> int:
     return (LENGTH - GRAM) // 2
 
 
-#: Segments of one anchor in a chunk, bytes in a shard, bytes of text that are hashed at once.
-CHUNK, SHARD_BYTES, BLOCK = 800, 1_000_000, 1 << 22
+#: Segments of one anchor in a chunk, starts in a cell, bytes in a shard, bytes of text that are hashed at once.
+CHUNK, CELL, SHARD_BYTES, BLOCK = 800, 16, 1_000_000, 1 << 22
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 TABLE = np.random.default_rng(17).integers(0, 2**64, 256, dtype=np.uint64)
@@ -93,7 +96,7 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """start, end (of the starts), anchor, hash, and hashes of the bytes before and behind the anchor (0: there aren't
+    """start, end (of the starts), where the anchor is, anchor, hash, and hashes of the bytes before and behind the anchor (0: there aren't
     enough) of each segment of a document."""
     out = []
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
@@ -113,7 +116,7 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.minimum(own + GRAM + near, size)
         behind = np.where(own + GRAM + near <= size, span_hashes(prefix, own + GRAM, last) | np.uint64(1), np.uint64(0))
         sides = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) | (x > 0) for x in (before, behind)]
-        out.append((start + at, end + at, grams[own].view(np.int64), key.view(np.int64), *sides))
+        out.append((start + at, end + at, own - start, grams[own].view(np.int64), key.view(np.int64), *sides))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -122,9 +125,9 @@ def _occurring(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"], strict=True):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             if len(data) >= LENGTH:
-                s, e, anchor, seg, before, behind = segments(data)
+                s, e, at, anchor, seg, before, behind = segments(data)
                 yield pd.DataFrame(
-                    {"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * len(s), "Int64"), "text_key": key, "s": s.astype(np.int32), "e": e.astype(np.int32), "anchor": anchor, "seg": seg, "before": before, "behind": behind}
+                    {"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * len(s), "Int64"), "text_key": key, "s": s.astype(np.int32), "e": e.astype(np.int32), "at": at.astype(np.int32), "anchor": anchor, "seg": seg, "before": before, "behind": behind}
                 )
 
 
@@ -155,6 +158,30 @@ def _pieces(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["anchor", "seg", "chunk", "chunks", "starts", "bytes"])
 
 
+def cells(data: np.ndarray, starts: int, at: int) -> Iterator[tuple[int, int, int, int]]:
+    """First and last start, anchor and hash of each cell of a segment whose anchor is ``at`` bytes in."""
+    prefix = prefix_hashes(data)
+    c = np.arange(max(0, (at - starts + 1) // CELL), at // CELL + 1)
+    a, b = np.maximum(at - c * CELL - CELL + 1, 0), np.minimum(at - c * CELL, starts - 1)
+    core = at - c * CELL
+    anchor = mix(span_hashes(prefix, core, core - CELL + 1 + LENGTH) + mix(c.astype(np.uint64)))
+    key = mix(span_hashes(prefix, a, b + LENGTH) + mix((at - a).astype(np.uint64) << np.uint64(32) | (b - a).astype(np.uint64)))
+    yield from zip(a.tolist(), (b + 1).tolist(), anchor.view(np.int64).tolist(), key.view(np.int64).tolist(), strict=True)
+
+
+def _celled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for text, asked in zip(b["text"], b["asked"], strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            for x in asked:
+                part = data[x["s"] : x["e"] + LENGTH - 1]
+                for first, last, anchor, key in cells(np.frombuffer(part, np.uint8), x["e"] - x["s"], x["at"]):
+                    anchor = int(mix(np.array([(anchor ^ x["anchor"]) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
+                    rows.append((x["anchor"], x["seg"], first, last, anchor, key, last - first, part[first : last + LENGTH - 1]))
+        yield pd.DataFrame(rows, columns=["anchor", "seg", "a", "b", "cell", "key", "starts", "bytes"])
+
+
 def shard_repeats(pieces: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard's segments: for every start its piece, its offset, whether its string is repeated, and whether it stands
     first among its like in the suffix array."""
@@ -230,14 +257,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, text_key and text.
     """
-    occ = docs.mapInPandas(_gathered(_occurring), "doc_id long, text_key long, s int, e int, anchor long, seg long, before int, behind int")
+    occ = docs.mapInPandas(_gathered(_occurring), "doc_id long, text_key long, s int, e int, at int, anchor long, seg long, before int, behind int")
     occ = cut(occ, "occurrences")
     counts = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segs")).where("n > 1")
     live = cut(occ.join(counts.select("anchor", "segs"), "anchor"), "live")
     drop_cut(occ)
     segs = live.groupBy("anchor", "seg").agg(
-        F.count(F.lit(1)).alias("n"), F.first("segs").alias("segs"), F.first("before").alias("before"), F.first("behind").alias("behind"), F.min(F.struct("doc_id", "text_key", "s", "e")).alias("rep")
+        F.count(F.lit(1)).alias("n"), F.first("segs").alias("segs"), F.first("before").alias("before"), F.first("behind").alias("behind"), F.min(F.struct("doc_id", "text_key", "s", "e", "at")).alias("rep")
     )
     segs = cut(segs, "segments")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("x")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("x")))
@@ -245,18 +272,35 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = around.groupBy("anchor", "side", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     open_ = cut(segs.join(around.join(shared, ["anchor", "side", "x"]).select("anchor", "seg").distinct(), ["anchor", "seg"]), "open")
     many = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"))
-    open_ = open_.drop("segs").join(many, "anchor").withColumn("chunks", F.ceil(F.col("segs") / CHUNK).cast("int"))
-    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")).cast("int"))
-    asked = open_.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_key")).agg(
-        F.collect_list(F.struct("anchor", "seg", "chunk", "chunks", "rep.s", "rep.e")).alias("asked")
-    )
+    open_ = cut(open_.drop("segs").join(many, "anchor"), "open")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
-    size = open_.agg(F.sum(F.col("rep.e") - F.col("rep.s") + LENGTH)).first()[0] or 0
-    shards = max(1, size // SHARD_BYTES)
-    pieces = docs.join(asked, same).select("text", "asked").mapInPandas(
+
+    def with_text(asked: DataFrame, *more: str) -> DataFrame:
+        """Texts of the segments' documents, each with what is asked of it."""
+        parts = asked.groupBy(F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_key")).agg(
+            F.collect_list(F.struct("anchor", "seg", "rep.s", "rep.e", *more)).alias("asked")
+        )
+        return docs.join(parts, same).select("text", "asked")
+
+    def chunked(df: DataFrame) -> DataFrame:
+        out = df.withColumn("chunks", F.ceil(F.col("segs") / CHUNK).cast("int"))
+        return out.withColumn("chunk", F.pmod(F.xxhash64("seg"), F.col("chunks")).cast("int"))
+
+    plain = chunked(open_.where(F.col("segs") <= CHUNK))
+    pieces = with_text(plain, "chunk", "chunks").mapInPandas(
         _gathered(_pieces, 5_000), "anchor long, seg long, chunk int, chunks int, starts int, bytes binary"
     )
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(shards)))
+    size = plain.agg(F.sum(F.col("rep.e") - F.col("rep.s") + LENGTH)).first()[0] or 0
+    celled = with_text(open_.where(F.col("segs") > CHUNK), "rep.at").mapInPandas(
+        _celled, "anchor long, seg long, a long, b long, cell long, key long, starts int, bytes binary"
+    )
+    celled = cut(celled.dropDuplicates(["anchor", "seg", "a"]), "cells")
+    like = celled.groupBy("cell", "key").agg(F.count(F.lit(1)).alias("n"), F.first("starts").alias("starts"), F.first("bytes").alias("bytes"))
+    like = cut(like.join(like.groupBy("cell").agg(F.count(F.lit(1)).alias("segs"), F.sum("n").alias("all")).where(F.col("all") > 1), "cell"), "like")
+    hot = chunked(like.where("segs > 1").withColumnsRenamed({"cell": "anchor", "key": "seg"}))
+    pieces = pieces.unionByName(hot.select("anchor", "seg", "chunk", "chunks", "starts", "bytes"))
+    size += hot.agg(F.sum(F.col("starts") + LENGTH)).first()[0] or 0
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(max(1, size // SHARD_BYTES))))
     found = pieces.repartition("shard").sortWithinPartitions("shard").mapInPandas(
         _sorted_shards, "kind int, anchor long, seg long, a long, b long, h long"
     )
@@ -265,8 +309,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     across = found.where("kind = 1")
     twice = across.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "h")
     across = across.where("b = 1").join(twice, ["anchor", "h"]).select("anchor", "seg", "a", (F.col("a") + 1).alias("b"))
+    inside = inside.unionByName(across)
+    # What was found in cells, or holds for whole cells, said of their segments.
+    of_cells = like.where("n > 1").select("cell", "key", F.lit(0).cast("long").alias("x"), F.col("starts").cast("long").alias("y")).unionByName(
+        inside.select(F.col("anchor").alias("cell"), F.col("seg").alias("key"), F.col("a").alias("x"), F.col("b").alias("y"))
+    )
+    celled = celled.select("anchor", "seg", "a", "cell", "key").join(of_cells, ["cell", "key"])
+    inside = inside.unionByName(celled.select("anchor", "seg", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b")))
     whole = segs.where("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("a"), (F.col("rep.e") - F.col("rep.s")).cast("long").alias("b"))
-    ranges = whole.unionByName(inside).unionByName(across)
+    ranges = whole.unionByName(inside)
     ranges = ranges.groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     spans = live.join(ranges, ["anchor", "seg"]).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"),

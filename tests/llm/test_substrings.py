@@ -40,15 +40,15 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("chunk", [800, 7])
-def test_against_counting(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "cell"), [(800, 16), (7, 16), (7, 5), (3, 1)])
+def test_against_counting(spark, monkeypatch, chunk, cell):
     # Workers load the module anew, so the smaller constants go along inside the functions' module copy.
-    for k, v in {"LENGTH": 40, "GRAM": 8, "CHUNK": chunk, "SHARD_BYTES": 5000, "BLOCK": 256}.items():
+    for k, v in {"LENGTH": 40, "GRAM": 8, "CHUNK": chunk, "CELL": cell, "SHARD_BYTES": 5000, "BLOCK": 256}.items():
         monkeypatch.setattr(substrings, k, v)
     from tests.llm import cloudpickle_here
 
     with cloudpickle_here.by_value(substrings):
-        texts = corpus(chunk)
+        texts = corpus(chunk + cell)
         df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], SCHEMA)
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(df).collect()}
     want = brute(texts, 40)
