@@ -33,10 +33,10 @@ def plain(rows: Column) -> Column:
 
 
 def html(rows: Column) -> Column:
-    cell = lambda c, i: F.when(i == 0, F.concat(F.lit("<th>"), escape_html(c), F.lit("</th>"))).otherwise(
-        F.concat(F.lit("<td>"), escape_html(c), F.lit("</td>"))
+    cell = lambda c, i: F.when(i == 0, F.concat(F.lit("    <th>"), escape_html(c), F.lit("</th>\n"))).otherwise(
+        F.concat(F.lit("    <td>"), escape_html(c), F.lit("</td>\n"))
     )
-    row = lambda r, i: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: cell(F.coalesce(c, F.lit("")), i)), ""), F.lit("</tr>\n"))
+    row = lambda r, i: F.concat(F.lit("  <tr>\n"), F.array_join(F.transform(r, lambda c: cell(F.coalesce(c, F.lit("")), i)), ""), F.lit("  </tr>\n"))
     return F.concat(F.lit("<table>\n"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
 
 
@@ -48,10 +48,11 @@ def summary(rows: Column) -> Column:
     """Rows, columns, and the first five headers."""
     h = headers(rows)
     head = F.concat(
-        F.lit("Table with "), F.size(rows).cast("string"), F.lit(" rows and "), F.size(F.get(rows, F.lit(0))).cast("string"), F.lit(" columns.")
+        F.lit("Table with "), F.size(rows).cast("string"), F.lit(" rows and "), F.size(F.get(rows, F.lit(0))).cast("string"), F.lit(" columns")
     )
-    named = F.concat(F.lit(" Columns: "), F.array_join(F.slice(h, 1, 5), ", "), F.when(F.size(h) > 5, F.lit(", ...")).otherwise(F.lit("")))
-    return F.when(F.size(h) > 0, F.concat(head, named)).otherwise(head)
+    first = F.array_join(F.slice(h, 1, 5), ", ")
+    many = F.concat(head, F.lit(". Columns include: "), first, F.lit(", ..."))
+    return F.when(F.size(h) > 5, many).when(F.size(h) > 0, F.concat(head, F.lit(". Columns: "), first)).otherwise(head)
 
 
 def cell(rows: Column, row: int, column: int) -> Column:

@@ -1 +1 @@
-
+"""Operators over elements, chunks and fragments."""
