@@ -121,14 +121,27 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _occurring(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments of all texts: doc_id, text_key, s, e, at, anchor, seg, before, behind."""
+    names = ("s", "e", "at", "anchor", "seg", "before", "behind")
+    kinds = (np.int32, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)
     for b in batches:
-        for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"], strict=True):
+        docs, keys, found, n = b["doc_id"].astype("Int64"), b["text_key"].to_numpy(), [], 0
+
+        def frame(docs: pd.Series = docs, keys: np.ndarray = keys) -> pd.DataFrame:
+            row = np.repeat([i for i, _ in found], [len(f[0]) for _, f in found])
+            columns = {c: np.concatenate([f[k] for _, f in found]).astype(t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))}
+            return pd.DataFrame({"doc_id": docs.take(row).to_numpy(), "text_key": keys[row], **columns})
+
+        for i, text in enumerate(b["text"]):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             if len(data) >= LENGTH:
-                s, e, at, anchor, seg, before, behind = segments(data)
-                yield pd.DataFrame(
-                    {"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * len(s), "Int64"), "text_key": key, "s": s.astype(np.int32), "e": e.astype(np.int32), "at": at.astype(np.int32), "anchor": anchor, "seg": seg, "before": before, "behind": behind}
-                )
+                found.append((i, segments(data)))
+                n += len(found[-1][1][0])
+                if n >= 100_000:
+                    yield frame()
+                    found, n = [], 0
+        if found:
+            yield frame()
 
 
 def _gathered(make, most: int = 100_000):
@@ -257,7 +270,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, text_key and text.
     """
-    occ = docs.mapInPandas(_gathered(_occurring), "doc_id long, text_key long, s int, e int, at int, anchor long, seg long, before int, behind int")
+    occ = docs.mapInPandas(_occurring, "doc_id long, text_key long, s int, e int, at int, anchor long, seg long, before int, behind int")
     occ = cut(occ, "occurrences")
     counts = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segs")).where("n > 1")
