@@ -613,9 +613,9 @@ EDGES = f"""{FRAGS}, e AS (SELECT doc_id, page, unnest([y, y + height]) AS v FRO
  eg AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM en), bd AS (SELECT doc_id, page, g, avg(v) AS v, count(*) AS n FROM eg GROUP BY ALL)"""
 
 
-@query("row_boundaries", f"WITH {EDGES} SELECT doc_id, page, round(v, 6) AS "at", n, row_number() OVER (PARTITION BY doc_id, page ORDER BY v) - 1 AS "index" FROM bd")
+@query("row_boundaries", f"WITH {EDGES} SELECT doc_id, page, round(v, 6) AS place, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY v) - 1 AS number FROM bd")
 def _(read):
-    return grids.boundaries(_fragments(read), "y", layout.PAGE).withColumn("at", F.round("at", 6)).select("doc_id", "page", "at", "n", "index")
+    return grids.boundaries(_fragments(read), "y", layout.PAGE).select("doc_id", "page", F.round("at", 6).alias("place"), "n", F.col("index").alias("number"))
 
 
 @query("cell_assignment")
