@@ -53,7 +53,7 @@ class Archive:
         """Targets by id of a part's relations."""
         folder, base = posixpath.split(name)
         rels = self.xml(f"{folder}/_rels/{base}.rels")
-        return {attr(r, "Id"): posixpath.normpath(posixpath.join(folder, attr(r, "Target"))).lstrip("/") for r in rels or [] if tag(r) == "Relationship"}
+        return {attr(r, "Id"): posixpath.normpath(posixpath.join(folder, attr(r, "Target"))).lstrip("/") for r in (rels if rels is not None else []) if tag(r) == "Relationship"}
 
 
 def cell(text: str, head: bool = False, rows: int = 1, cols: int = 1) -> dict:
