@@ -53,8 +53,8 @@ def _repeated(words: Column) -> Column:
     return F.when((F.size(words) <= WINDOW) | differ, F.lit(0).cast("long")).otherwise(covered)
 
 
-def with_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed in a struct ``rules``."""
+def with_rules(docs: DataFrame, name: str = "rules") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed in a struct of that name."""
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     figures = let(
@@ -68,7 +68,7 @@ def with_rules(docs: DataFrame) -> DataFrame:
         ),
     )
     failed = lambda r: (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > MAX_REPEAT_PERCENT * r["n_words"])
-    return docs.withColumn("rules", let(figures, lambda r: r.withField("base_failed", failed(r))))
+    return docs.withColumn(name, let(figures, lambda r: r.withField("base_failed", failed(r))))
 
 
 def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -91,8 +91,8 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     return one.select("source", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > max_rate).alias("rejected"))
 
 
-def apply_hosts(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` with host_rejected. The verdicts are broadcast while they are few by count, else joined by salted host."""
+def apply_hosts(docs: DataFrame, verdicts: DataFrame, name: str = "host_rejected") -> DataFrame:
+    """``docs`` with a flag of that name for rejected hosts. The verdicts are broadcast while they are few by count, else joined by salted host."""
     bad = cut(verdicts.where("rejected").select(F.col("source").alias("_host")), "hosts")
     if bad.count() <= BROADCAST_HOSTS:
         joined = docs.join(F.broadcast(bad), docs["source"] == F.col("_host"), "left")
@@ -100,7 +100,7 @@ def apply_hosts(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         own = docs.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         joined = own.join(salted, (F.col("source") == F.col("_host")) & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
-    return joined.withColumn("host_rejected", F.col("_host").isNotNull()).drop("_host")
+    return joined.withColumn(name, F.col("_host").isNotNull()).drop("_host")
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +120,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The documents with their verdict are written once, so that the rules run once for the host counts and the filter.
     """
     names = docs.columns
-    ruled = cut(with_rules(docs).withColumn("_failed", F.col("rules.base_failed")).drop("rules"), "ruled")
+    ruled = cut(with_rules(docs, "_rules").withColumn("_failed", F.col("_rules.base_failed")).drop("_rules"), "ruled")
     verdicts = host_verdicts(ruled.select("source", F.col("_failed").alias("base_failed")))
-    return apply_hosts(ruled.where(~F.col("_failed")), verdicts).where(~F.col("host_rejected")).select(*names)
+    return apply_hosts(ruled.where(~F.col("_failed")), verdicts, "_rejected").where(~F.col("_rejected")).select(*names)
 
 
 OP3_SQL = rf"""

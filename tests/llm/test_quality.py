@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from folioflow.llm import quality
 
-SCHEMA = "doc_id long, source string, text string, rate double, n_words int"
+SCHEMA = "doc_id long, source string, text string, rules double, host_rejected int"
 
 
 def brute(text):
