@@ -61,12 +61,18 @@ def next_path(path: list[str], current: int, title: str, level: int) -> list[str
     return [*path, title.strip()]
 
 
+def level_of(e: dict) -> int:
+    """A heading's level; 1 where it has none. Nested numbers may arrive as floats, and missing ones as NaN."""
+    level = e["level"]
+    return int(level) if level is not None and level == level and level >= 1 else 1
+
+
 def list_text(items: list[dict], ordered: bool) -> str:
     """Two spaces a level; numbers count a level's items and start again under a new parent."""
     counts: dict[int, int] = {}
     out = []
     for it in items:
-        level = it["level"] or 0
+        level = int(it["level"] or 0)
         counts = {k: v for k, v in counts.items() if k <= level}
         counts[level] = counts.get(level, 0) + 1
         out.append("  " * level + (f"{counts[level]}. " if ordered else "- ") + it["text"])
@@ -114,7 +120,7 @@ class Chunker:
             return
         self.flush(page)
         if e["type"] == "heading" and text:
-            self.heading(text, e["level"] or 1, page)
+            self.heading(text, level_of(e), page)
         elif e["type"] == "list" and e["items"] is not None and len(e["items"]):
             self.emit(list_text(e["items"], bool(e["ordered"])), page, "list", "list", has_list=True)
         elif e["type"] == "table" and e["rows"] is not None and len(e["rows"]):

@@ -11,6 +11,8 @@ from folioflow.functions import tables as TB
 from folioflow.functions import text as X
 from folioflow.functions.sentences import pieces_of, sentences_of
 from folioflow.operators import chunking, collection, elements, grids, layout, lists, overlap
+from folioflow.operators import sections as SC
+from folioflow.plans import documents as DC
 from folioflow.plans import export
 from folioflow.sources import html
 
@@ -609,8 +611,9 @@ def _(read):
     return grids.clusters(_fragments(read)).select("doc_id", "page", "seq", "cluster")
 
 
-EDGES = f"""{FRAGS}, e AS (SELECT doc_id, page, unnest([y, y + height]) AS v FROM f), en AS (SELECT *, coalesce(v - lag(v) OVER (PARTITION BY doc_id, page ORDER BY v) > 2, false) AS new FROM e),
- eg AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM en), bd AS (SELECT doc_id, page, g, avg(v) AS v, count(*) AS n FROM eg GROUP BY ALL)"""
+EDGES = f"""{FRAGS}, e AS (SELECT doc_id, page, unnest([y, y + height]) AS v FROM f), ec AS (SELECT doc_id, page, v, count(*) AS c FROM e GROUP BY ALL),
+ en AS (SELECT *, coalesce(v - lag(v) OVER (PARTITION BY doc_id, page ORDER BY v) > 2, false) AS new FROM ec),
+ eg AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY v) AS g FROM en), bd AS (SELECT doc_id, page, g, sum(v * c) / sum(c) AS v, sum(c)::BIGINT AS n FROM eg GROUP BY ALL)"""
 
 
 @query("row_boundaries", f"WITH {EDGES} SELECT doc_id, page, round(v, 6) AS place, n, row_number() OVER (PARTITION BY doc_id, page ORDER BY v) - 1 AS number FROM bd")
@@ -677,3 +680,63 @@ def _(read):
 def _(read):
     own = read("documents").select("doc_id", "lang", X.words(text()).alias("w")).join(read("labels"), "doc_id")
     return own.groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), F.max("w").alias("most"))
+
+
+# ---- Sections, atomic blocks, documents
+
+
+@query("chunk_sections")
+def _(read):
+    return SC.chunk_sections(html.parse_html(read("pages"), "standard"))
+
+
+@query("atomic_blocks", f"""WITH {TYPED}, k AS (SELECT doc_id, pos, type, coalesce(lead(type) OVER w = 'list' AND {INTRO_SQL}, false) OR coalesce(lead(type) OVER w = 'table' AND (regexp_matches(lower(text), '^(table |tbl |tbl\\.|tab |tab\\.)') OR (contains(lower(text), 'table') AND regexp_matches(text, '[0-9]'))), false) AS keep
+ FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), n AS (SELECT *, CASE WHEN coalesce(lag(keep) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 0 ELSE 1 END AS new FROM k),
+ b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM n) SELECT doc_id, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last, max(type) FILTER (type IN ('table', 'list')) AS kind FROM b GROUP BY doc_id, b HAVING kind IS NOT NULL""")
+def _(read):
+    return SC.atomic_blocks(_typed(read))
+
+
+@query("html_markdown_contents")
+def _(read):
+    return DC.markdown(html.parse_html(read("pages")), html.html_head(read("pages")), contents=True)
+
+
+@query("layout_counts", r"""SELECT page_id AS doc_id, 1 AS pages, len(regexp_extract_all(html, '<h[1-6]>')) AS headings, 1 AS lists FROM pages""")
+def _(read):
+    return DC.layout_counts(html.parse_html(read("pages"), "none")).select("doc_id", "pages", "headings", "lists")
+
+
+@query("fragment_elements")
+def _(read):
+    own = _fragments(read).withColumn("font_name", F.lit("F"))
+    return DC.fragment_elements(own)
+
+
+@query("confidence_of_headings")
+def _(read):
+    own = elements.line_elements(read("documents"))
+    score = layout.heading_confidence(F.lit(1.2), F.col("text"), F.lit(False), F.lit(False), F.lit(1))
+    return own.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(score, 6).alias("confidence"), layout.heading_level(F.lit(1.2), F.col("text")).alias("level"))
+
+
+@query("clean_headings", f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, trim(regexp_replace(text, '^[0-9]+(\\.[0-9]+)*\\.?[ \\t]+', ''), {WS}) AS text FROM lines")
+def _(read):
+    return elements.line_elements(read("documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), X.without_number(F.col("text")).alias("text"))
+
+
+@query("sentence_boundaries")
+def _(read):
+    return read("documents").select("doc_id", F.posexplode(overlap.sentence_positions(text())).alias("n", "position"))
+
+
+@query("metadata_json", f"WITH {CHUNKS} SELECT doc_id, id, section_title, page_start::VARCHAR AS page_start, word_count::VARCHAR AS word_count FROM chunks")
+def _(read):
+    own = collection.line_chunks(read("documents"))
+    own = own.select("doc_id", "id", F.to_json(export.metadata(own)).alias("m"))
+    return own.select("doc_id", "id", *[F.get_json_object("m", f"$.{f}").alias(f) for f in ("section_title", "page_start", "word_count")])
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(read):
+    return read("events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

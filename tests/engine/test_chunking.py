@@ -110,3 +110,15 @@ def test_text_functions(spark):
         ("ordered", "2.", 0), ("unordered", "-", 0), ("checklist", "[x]", 0), ("definition", "", 0), ("", "", 0), ("unordered", "-", 3),
     ]
     assert SizeConfig.by_tokens(512, 8000).most == Limit(8000, "tokens", soft=False)
+
+
+def test_section_chunks():
+    from folioflow.operators import sections as SC
+
+    body = [element("heading", "A", level=1), element("paragraph", "One. " * 30), element("paragraph", "These are the items:"), element("list", items=[{"text": "x" * 50, "level": 0}] * 2), element("heading", "deep", level=4), element("heading", "B", level=2), element("paragraph", "Tail.")]
+    out = SC.section_chunks(body, SC.SectionConfig(most=200, least=20))
+    assert [c["section_path"] for c in out] == [["A"], ["A"], ["A", "B"]]
+    assert all(len(c["text"].encode()) <= 203 for c in out)
+    assert "These are the items:\n\n- x" in out[1]["text"] and out[1]["has_list"]
+    assert out[2]["text"] == "B\n\nTail." and out[2]["level"] == "section"
+    assert SC.section_chunks([], SC.SectionConfig()) == []

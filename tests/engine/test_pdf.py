@@ -44,3 +44,20 @@ def test_files_to_lines(spark):
     frags = pdf.pdf_fragments(df)
     assert [r["text"] for r in frags.where("doc_id = 2").collect()] == ["warning: the file is encrypted"]
     assert [r["text"] for r in layout.lines(frags.where("doc_id = 1")).orderBy("line").collect()] == ["One line goes on", "Next line"]
+
+
+def test_files_end_to_end(spark, tmp_path):
+    from folioflow.plans import documents
+    from tests.engine.test_sources import DOCX
+
+    page = lambda n: b"BT /F1 10 Tf 72 770 Td (My Report) Tj 0 -30 Td 0 -30 Td /F1 24 Tf (Big Title %s) Tj /F1 10 Tf 0 -60 Td (Some words of text in a line that is long) Tj 0 -12 Td (and its next line which is just as long) Tj ET" % n
+    (tmp_path / "a.pdf").write_bytes(build(page(b"a"), page(b"b")))
+    (tmp_path / "b.docx").write_bytes(DOCX)
+    es = documents.open_files(spark, str(tmp_path), documents.Options(headers=False))
+    pdf_ids = [r["doc_id"] for r in es.where("page = 2").select("doc_id").distinct().collect()]
+    found = [(r["page"], r["type"], r["text"]) for r in es.where(es["doc_id"].isin(pdf_ids)).orderBy("page", "pos").collect()]
+    body = "Some words of text in a line that is long and its next line which is just as long"
+    assert found == [(1, "heading", "Big Title a"), (1, "paragraph", body), (2, "heading", "Big Title b"), (2, "paragraph", body)]
+    assert documents.markdown(es).where("markdown like '# Big Title a%'").count() == 1
+    assert documents.chunks(es).where("has_table").count() == 1
+    assert {r["page"] for r in documents.open_files(spark, str(tmp_path), documents.Options(pages=(2,))).collect()} == {2}
