@@ -274,7 +274,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     occ = cut(occ, "occurrences")
     counts = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segs")).where("n > 1")
-    live = cut(occ.join(counts.select("anchor", "segs"), "anchor"), "live")
+    # Written first, so that both sides of the join are plain exchanges and Spark can split a hot anchor's rows.
+    counts = cut(counts.select("anchor", "segs"), "counts")
+    live = cut(occ.join(counts, "anchor"), "live")
     drop_cut(occ)
     segs = live.groupBy("anchor", "seg").agg(
         F.count(F.lit(1)).alias("n"), F.first("segs").alias("segs"), F.first("before").alias("before"), F.first("behind").alias("behind"), F.min(F.struct("doc_id", "text_key", "s", "e", "at")).alias("rep")
@@ -331,7 +333,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     inside = inside.unionByName(celled.select("anchor", "seg", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b")))
     whole = segs.where("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("a"), (F.col("rep.e") - F.col("rep.s")).cast("long").alias("b"))
     ranges = whole.unionByName(inside)
-    ranges = ranges.groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = cut(ranges.groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
     spans = live.join(ranges, ["anchor", "seg"]).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"),
         F.transform("ranges", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"] + LENGTH - 1).alias("b"))).alias("r"),
