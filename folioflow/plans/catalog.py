@@ -676,6 +676,17 @@ def _(read):
     return own.select("part", F.size("rows").cast("long").alias("n"), TB.cell(F.col("rows"), 1, 0).alias("first"))
 
 
+@query("table_split_thousands", """WITH p AS (SELECT p_partkey // 1000 AS t, p_partkey, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) - 1 AS i FROM part)
+ SELECT t::BIGINT AS "table", (i // 50)::INT AS part, count(*) + 1 AS n, min(p_partkey)::VARCHAR AS first FROM p GROUP BY 1, 2""")
+def _(read):
+    # A table for each thousand of keys: all parts, and no array of more than a thousand rows.
+    own = read("part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("table"))
+    body = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.array(k.cast("string")))
+    own = own.agg(F.concat(F.array(F.array(F.lit("key"))), body).alias("rows"))
+    own = own.select("table", F.posexplode(TB.split(F.col("rows"))).alias("part", "rows"))
+    return own.select("table", "part", F.size("rows").cast("long").alias("n"), TB.cell(F.col("rows"), 1, 0).alias("first"))
+
+
 @query("label_word_stats", f"WITH {D} SELECT lang, quality, count(*) AS docs, sum({WORDS.format(t='t')})::BIGINT AS words, max({WORDS.format(t='t')})::BIGINT AS most FROM d JOIN labels USING (doc_id) GROUP BY lang, quality")
 def _(read):
     own = read("documents").select("doc_id", "lang", X.words(text()).alias("w")).join(read("labels"), "doc_id")
