@@ -89,5 +89,7 @@ class LayoutConfig:
     band: float = 72.0
     repeat_ratio: float = 0.5
     repeat_pages: int = 2
+    repeat_x: float = 10.0
+    repeat_y: float = 5.0
     table_tolerance: float = 2.0
     table_gap: float = 50.0

@@ -235,17 +235,35 @@ def repeated_lines(lines_: DataFrame, key: str, config: LayoutConfig = LayoutCon
     return kept.select(key, "shape", "pages", F.least(0.9 * F.col("pages") / F.col("n") + 0.1, F.lit(1.0)).alias("confidence"))
 
 
-def header_footer(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """Repeated texts in the top and bottom bands of the pages: doc_id, region, shape, pages, confidence."""
+def banded(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """``fragments`` with ``region``: header in the top band of the page's content, footer in the bottom band, else null."""
     page = Window.partitionBy(*PAGE)
     high, low = F.max(F.col("y") + F.col("height")).over(page), F.min("y").over(page)
     region = F.when(F.col("y") + F.col("height") >= high - config.band, "header").when(F.col("y") <= low + config.band, "footer")
-    own = fragments.withColumn("region", region).where("region is not null").withColumn("key", F.concat_ws("|", "doc_id", "region"))
-    found = repeated_lines(own.select("key", "page", "text"), "key", config)
+    return fragments.withColumn("region", region)
+
+
+def header_footer(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """Texts repeated at one place in the top and bottom bands of the pages: doc_id, region, shape, pages, confidence."""
+    own = banded(fragments, config).where("region is not null").withColumn("key", F.concat_ws("|", "doc_id", "region"))
+    own = own.withColumn("shape", X.digits_masked(X.trimmed(F.col("text"))))
+    # All places of a text are within the tolerances of its first one.
+    first = own.groupBy("key", "shape").agg(
+        F.min(F.struct("page", "seq", "x", "y")).alias("f"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+    near = lambda c, most: (F.col(f"{c}1") - F.col(f"f.{c}") <= most) & (F.col(f"f.{c}") - F.col(f"{c}0") <= most)
+    steady = first.where(near("x", config.repeat_x) & near("y", config.repeat_y)).select("key", "shape")
+    found = repeated_lines(own.select("key", "page", "text"), "key", config).join(steady, ["key", "shape"])
     parts = F.split("key", r"\|")
     return found.select(parts[0].cast("long").alias("doc_id"), parts[1].alias("region"), "shape", "pages", "confidence")
 
 
+def without_regions(fragments: DataFrame, repeated: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """Fragments that aren't, in the header or footer band of their page, among the repeated texts of that region."""
+    own = banded(fragments, config).withColumn("shape", X.digits_masked(X.trimmed(F.col("text"))))
+    return own.join(repeated.select("doc_id", "region", "shape").distinct(), ["doc_id", "region", "shape"], "left_anti").drop("region", "shape")
+
+
 def without(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
     """Rows whose text, digits alike, isn't among the repeated ones of their document."""
     own = rows.withColumn("shape", X.digits_masked(X.trimmed(F.col("text"))))

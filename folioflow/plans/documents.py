@@ -33,7 +33,7 @@ def fragment_elements(fragments: DataFrame, options: Options = Options()) -> Dat
     if not (options.headers and options.footers):
         found = layout.header_footer(own, options.layout)
         drop = [r for r, stay in (("header", options.headers), ("footer", options.footers)) if not stay]
-        own = layout.without(own, found.where(F.col("region").isin(*drop)).select("doc_id", "shape").distinct(), "doc_id")
+        own = layout.without_regions(own, found.where(F.col("region").isin(*drop)), options.layout)
     # The columns of a page are read one after the other: each is a page of its own to the line finder.
     own = layout.columns(own, options.layout).withColumn("page", F.col("page") * 100 + F.col("column")).drop("column")
     paragraphs = layout.paragraphs(layout.lines(own, options.layout), options.layout)

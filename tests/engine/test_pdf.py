@@ -46,6 +46,22 @@ def test_files_to_lines(spark):
     assert [r["text"] for r in layout.lines(frags.where("doc_id = 1")).orderBy("line").collect()] == ["One line goes on", "Next line"]
 
 
+def test_headers_and_footers_leave_the_body(spark):
+    from folioflow.plans import documents
+
+    row = lambda page, seq, text, x, y: (7, page, seq, text, float(x), float(y), 40.0, 10.0, 10.0, "F")
+    rows = []
+    for p in (1, 2, 3):
+        rows += [row(p, 0, "My Report", 72, 770), row(p, 1, f"{2018 + p}", 72, 500), row(p, 2, "My Report", 72, 400), row(p, 3, f"{p}", 300, 30)]
+        rows += [row(p, 4, f"item {p}", 72 + 20 * p, 80)]  # in the band, but at no steady place
+    df = spark.createDataFrame(rows, "doc_id long, page int, seq long, text string, x double, y double, width double, height double, font_size double, font_name string")
+    text = lambda **o: " ".join(r["text"] for r in documents.fragment_elements(df, documents.Options(**o)).orderBy("page", "pos").collect()).split()
+    both = text(headers=False, footers=False)
+    assert both == [w for p in (1, 2, 3) for w in (f"{2018 + p}", "My", "Report", "item", f"{p}")]
+    assert text(footers=False).count("Report") == 6 and text(headers=False).count("Report") == 3
+    assert sorted((r["region"], r["shape"]) for r in layout.header_footer(df).collect()) == [("footer", "#"), ("header", "My Report")]
+
+
 def test_files_end_to_end(spark, tmp_path):
     from folioflow.plans import documents
     from tests.engine.test_sources import DOCX
