@@ -157,6 +157,13 @@ def _(read):
     return own.select(F.col("i").cast("long").alias("i"), X.column_letters(F.col("i")).alias("letters"), X.column_index(X.column_letters(F.col("i"))).cast("long").alias("back"))
 
 
+@query("column_letters_three", """SELECT i::BIGINT AS i, CASE WHEN i < 26 THEN chr((65 + i)::INT) WHEN i < 702 THEN chr((64 + i // 26)::INT) || chr((65 + i % 26)::INT)
+ ELSE chr((65 + (i - 702) // 676)::INT) || chr((65 + (i - 702) // 26 % 26)::INT) || chr((65 + (i - 702) % 26)::INT) END AS letters, i::BIGINT AS back FROM range(18278) t(i)""")
+def _(read):
+    own = read("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(18277))).alias("i"))
+    return own.select(F.col("i").cast("long").alias("i"), X.column_letters(F.col("i")).alias("letters"), X.column_index(X.column_letters(F.col("i"))).cast("long").alias("back"))
+
+
 @query("sentences_strict")
 def _(read):
     return read("documents").select("doc_id", F.posexplode(sentences_of(text())).alias("n", "sentence"))
