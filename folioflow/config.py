@@ -93,3 +93,4 @@ class LayoutConfig:
     repeat_y: float = 5.0
     table_tolerance: float = 2.0
     table_gap: float = 50.0
+    table_confidence: float = 0.5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,69 @@ def confidence(regular: Column, alignment: Column, rules: Column, occupied: Colu
     return 0.3 * regular + 0.3 * alignment + 0.2 * rules + 0.2 * occupied
 
 
+TABLE = "doc_id long, page long, cluster long, x double, y double, width double, height double, has_grid boolean, regular double, alignment double, rules double, occupied double, cells array<struct<row:int,col:int,text:string,row_span:int,col_span:int>>"
+
+
+def _bounds(low: np.ndarray, high: np.ndarray, tolerance: float) -> np.ndarray:
+    """Both edges, those within the tolerance of their neighbour as their mean."""
+    v = np.sort(np.append(low, high))
+    return np.array([p.mean() for p in np.split(v, np.flatnonzero(np.diff(v) > tolerance) + 1)])
+
+
+def _table(own: pd.DataFrame, drawn: np.ndarray, tolerance: float) -> tuple | None:
+    """Box, visible grid, the four measures and the cells of a cluster; none with under two rows or columns."""
+    own = own.sort_values(["x", "seq"])
+    left, low = own["x"].to_numpy(float), own["y"].to_numpy(float)
+    right, high = left + own["width"].to_numpy(float), low + own["height"].to_numpy(float)
+    cols, rows = _bounds(left, right, tolerance), _bounds(low, high, tolerance)[::-1]
+    if len(own) < 4 or len(cols) < 3 or len(rows) < 3:
+        return None
+    even = lambda v: max(0.0, 1 - np.std(v) / np.mean(v))
+    regular = (even(-np.diff(rows)) + even(np.diff(cols))) / 2
+    near = lambda v, b: (np.abs(v[:, None] - b) < 2 * tolerance).any(axis=1).astype(int)
+    alignment = (near(left, cols) + near(right, cols) + near(high, rows) + near(low, rows) >= 2).mean()
+    at = lambda b, i: np.array([bool((np.abs(drawn[:, [i, i + 2]] - v) < tolerance).all(axis=1).any()) for v in b])
+    h, v = at(rows, 1), at(cols, 0)
+    cells: dict[tuple[int, int], list] = {}
+    for x0, y0, x1, y1, text in zip(left, low, right, high, own["text"], strict=True):
+        i = np.flatnonzero(((y0 + y1) / 2 <= rows[:-1]) & ((y0 + y1) / 2 >= rows[1:]))
+        j = np.flatnonzero(((x0 + x1) / 2 >= cols[:-1]) & ((x0 + x1) / 2 <= cols[1:]))
+        if len(i) and len(j):
+            c = cells.setdefault((int(i[0]), int(j[0])), [x0, y0, x1, y1, []])
+            c[:4] = min(c[0], x0), min(c[1], y0), max(c[2], x1), max(c[3], y1)
+            c[4].append(text)
+    made = []
+    for (i, j), (_, y0, x1, _, texts) in sorted(cells.items()):
+        # A cell goes on over the intervals that its content reaches into by more than the tolerance.
+        down = next((k for k in range(i + 1, len(rows) - 1) if rows[k] - y0 <= tolerance), len(rows) - 1) - i
+        across = next((k for k in range(j + 1, len(cols) - 1) if x1 - cols[k] <= tolerance), len(cols) - 1) - j
+        made.append({"row": i, "col": j, "text": " ".join(texts), "row_span": down, "col_span": across})
+    box = (cols[0], rows[-1], cols[-1] - cols[0], rows[0] - rows[-1])
+    return *box, bool((h.sum() + v.sum()) / (len(h) + len(v)) >= 0.5), regular, alignment, (h.mean() + v.mean()) / 2, len(cells) / ((len(rows) - 1) * (len(cols) - 1)), made
+
+
+def detect_tables(fragments: DataFrame, rules: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """Tables of the pages: box, whether half of the boundaries are drawn, confidence (0.5 at least) and cells with their spans.
+
+    ``rules`` are drawn lines of doc_id, page, x1, y1, x2 and y2. Rows are from the top.
+    """
+
+    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        lines = drawn[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        found = []
+        for key, part in own.groupby(["doc_id", "page", "cluster"]):
+            t = _table(part, lines, config.table_tolerance)
+            if t is not None:
+                found.append((*key, *t))
+        return pd.DataFrame(found, columns=[f.split(" ")[0] for f in TABLE.split("array<")[0].split(", ")])
+
+    own = clusters(fragments, config).select(*[F.col(c).cast("long") for c in (*PAGE, "cluster")], "seq", "text", "x", "y", "width", "height")
+    lines = rules.select(*[F.col(c).cast("long") for c in PAGE], "x1", "y1", "x2", "y2")
+    out = own.groupBy(*PAGE).cogroup(lines.groupBy(*PAGE)).applyInPandas(run, TABLE)
+    out = out.withColumn("confidence", confidence(F.col("regular"), F.col("alignment"), F.col("rules"), F.col("occupied")))
+    return out.where(F.col("confidence") >= config.table_confidence).drop("regular", "alignment", "rules", "occupied")
+
+
 def rule_groups(rules: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Drawn lines by direction, those at about the same place together: horizontal at a y, vertical at an x."""
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
