@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.tables import embedding_text
+from folioflow.operators.ranks import running
 
 #: Metadata that goes into an export by default.
 METADATA = ("section_title", "page_start", "page_end", "chunk_index", "char_count", "word_count", "estimated_tokens", "has_table", "has_list", "has_image")
@@ -58,12 +59,10 @@ def batch_bounds(chunks: DataFrame, size: int) -> DataFrame:
 def numbered(chunks: DataFrame) -> DataFrame:
     """``chunks`` with ``row``, their number over all documents.
 
-    Numbers come from the counts of documents before, so no task sees more than its documents: counts by document are
-    small, and only they are summed in one order.
+    Numbers come from the counts of documents before; these are summed by ranges of documents.
     """
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    start = counts.select("doc_id", F.coalesce(before, F.lit(0)).alias("_start"))
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    start = running(counts, [F.col("doc_id")], {"_start": F.col("_n")}).select("doc_id", "_start")
     return chunks.join(start, "doc_id").withColumn("row", (F.col("_start") + F.col("chunk_index")).cast("long")).drop("_start")
 
 
