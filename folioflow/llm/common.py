@@ -2,61 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.shared import cut, drop_cut, free, shared_dir  # noqa: F401
+
 #: A word: a run of characters other than space and the five ASCII line and tab characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: Whether shuffle files go as soon as a query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset in local mode, as in tests, a folder of our own is used; on a cluster it has to be set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        conf = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="folioflow-")
-        shared_dir.own = conf
-    return conf.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
-
-    Lineage ends there: a lost executor costs no recomputation of what stands before, and a plan that reads the
-    result several times runs the steps before only once. The shuffle files of the run go as it ends, the table's files when the
-    driver's JVM ends, or earlier by ``drop_cut``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    paths = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
-    for p in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_of(column: str = "text") -> Column:

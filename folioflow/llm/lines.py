@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import SPACES, cut, read, text_of
+from folioflow.llm.common import SPACES, cut, free, read, text_of
 
 MIN_SITES = 5
 LG_K = 10
@@ -90,16 +90,17 @@ def repeats(docs: DataFrame, lines: DataFrame, boiler: DataFrame) -> DataFrame:
     return found.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.text_key").alias("_key")).agg(F.collect_set("at.pos").alias("_gone"))
 
 
-def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
-    """``docs`` with its text without boilerplate, and ``_gone``, the positions of the lines removed (null: none)."""
+def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, gone: str = "_gone") -> DataFrame:
+    """``docs`` with its text without boilerplate, and under the name ``gone`` the positions of the lines removed (null: none)."""
+    doc, key = free(docs, "_doc", "_key")
     lines = explode_lines(docs)
-    gone = repeats(docs, lines, boilerplate(lines, min_sites, band))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_of()) == F.col("_key"))
-    out = docs.join(gone, same, "left").drop("_doc", "_key")
+    found = repeats(docs, lines, boilerplate(lines, min_sites, band)).select(F.col("_doc").alias(doc), F.col("_key").alias(key), F.col("_gone").alias(gone))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(key))
+    out = docs.join(found, same, "left").drop(doc, key)
     left = F.transform(F.array(_lines(F.col("text"))), lambda a: F.array_join(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_gone")), lambda i: F.get(a, i)), "\n"
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col(gone)), lambda i: F.get(a, i)), "\n"
     ))[0]
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, without boilerplate lines."""
-    return drop_lines(docs).select(*docs.columns)
+    return drop_lines(docs, gone=free(docs, "_gone")[0]).select(*docs.columns)
 
 
 OP5_SQL = rf"""

@@ -21,10 +21,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, read, text_of, word_count
+from folioflow.llm.common import cut, free, read, text_of, word_count
+from folioflow.operators.ranks import numbered, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -35,26 +36,20 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     """``sources`` (source, source_size) with the weight and target of each.
 
     The targets share the total by weight, none above ``most`` times its source: what a capped source can't take is
-    shared again by weight. That ends at target = min(cap, level * weight); the level is found by one pass over the
-    sources in the order of cap / weight. This is a table of one row a source.
+    shared again by weight. That ends at target = min(cap, level * weight); the level is found by sums over the sources
+    in the order of cap / weight. Both orders are summed by ranges, so sources may be many.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(float(x)) for x in weights])
-    s = sources.select(
-        "source", "source_size", F.get(w, F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))).alias("weight"),
-        (F.lit(float(most)) * F.col("source_size")).alias("cap"),
-    )
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn(
-        "level",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
+    s = numbered(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], "_at")
+    s = s.select(
+        "source", "source_size", F.get(w, F.pmod("_at", F.lit(len(weights)))).alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")
     )
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("level")))
-    s = s.withColumn("level", F.min(fits).over(everything)["level"])
-    return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    s = running(s, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"_caps": F.col("cap"), "_weights": F.col("weight")})
+    size, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    ratio, level = F.col("cap") / F.col("weight"), (F.lit(float(size or 0)) - F.col("_caps")) / (F.lit(float(all_weights or 0)) - F.col("_weights"))
+    found = s.agg(F.min(F.when(level <= ratio, F.struct(ratio.alias("r"), level.alias("level"))))["level"]).first()[0]
+    target = F.col("cap") if found is None else F.least("cap", F.lit(found) * F.col("weight"))
+    return s.select("source", "source_size", "weight", target.alias("target"))
 
 
 def _rounded(seed: int, last: bool):
@@ -138,14 +133,13 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     m = mix(read(spark, sf_dir, "documents"))
     m = m.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return m.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def keep_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as many times as the mix takes it."""
-    m = mix(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_k"), F.col("copies").alias("_n")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (_key() == F.col("_k"))
-    taken = docs.join(m, same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    d, s, k, n, one = free(docs, "_d", "_s", "_k", "_n", "_one")
+    m = mix(docs).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("text_key").alias(k), F.col("copies").alias(n))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (_key() == F.col(k))
+    taken = docs.join(m, same).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     return taken.select(*docs.columns)

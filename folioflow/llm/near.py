@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bagminhash as bag
-from folioflow.llm.common import cut, read, text_of
+from folioflow.llm.common import cut, free, read, text_of
 from folioflow.llm.components import components, runs
 
 SIMILAR = 0.8
@@ -206,11 +206,12 @@ def op8_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, and every document without words."""
-    found = near_documents(docs).where("kept").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
-    found = cut(found.agg(F.count(F.lit(1)).alias("_n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text_of()) == F.col("_k"))
+    d, k, n = free(docs, "_d", "_k", "_n")
+    found = near_documents(docs).where("kept").groupBy(F.col("doc_id").alias(d), F.col("text_key").alias(k))
+    found = cut(found.agg(F.count(F.lit(1)).alias(n)), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text_of()) == F.col(k))
     stay = docs.join(found, same)
     words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    once = stay.where((F.col("_n") == 1) | ~F.coalesce(words, F.lit(False)))
-    again = stay.where((F.col("_n") > 1) & F.coalesce(words, F.lit(False))).dropDuplicates(["_d", "_k"])
+    once = stay.where((F.col(n) == 1) | ~F.coalesce(words, F.lit(False)))
+    again = stay.where((F.col(n) > 1) & F.coalesce(words, F.lit(False))).dropDuplicates([d, k])
     return once.unionByName(again).select(*docs.columns)

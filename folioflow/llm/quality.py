@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import SPACES, cut, read, text_of, words_of
+from folioflow.llm.common import SPACES, cut, free, read, text_of, words_of
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -74,17 +74,21 @@ def with_rules(docs: DataFrame, name: str = "rules") -> DataFrame:
 def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row a host: n_docs, n_failed, rate (shrunk) and rejected. ``rules`` has source and base_failed.
 
-    With hosts' rates r of mean m and variance v (weighted by documents), the prior is beta(m * k, (1 - m) * k) with
-    k = m * (1 - m) / v - 1, at least 0; without variance all hosts get the mean.
+    The prior is beta(m * k, (1 - m) * k), with m the share of all documents that fail. Hosts' observed rates differ from
+    m by what the hosts differ and by chance: of N documents on H hosts, the sum of n * (r - m)^2 over the hosts is expected to be
+    v * (N - H) + H * m * (1 - m), with v the variance between hosts. So v has chance taken off, and k = m * (1 - m) / v - 1, at least 0; without variance
+    between hosts, or with one document a host, all hosts get the mean.
     """
     hosts = rules.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.count(F.when(F.col("base_failed"), 1)).alias("n_failed")
     )
     r = F.col("n_failed") / F.col("n_docs")
     mean = F.sum("n_failed") / F.sum("n_docs")
-    moments = hosts.agg(mean.alias("m"), (F.sum(F.col("n_docs") * r * r) / F.sum("n_docs")).alias("m2"))
-    v = F.col("m2") - F.col("m") * F.col("m")
-    k = F.when(v > 1e-12, F.greatest(F.col("m") * (1 - F.col("m")) / v - 1, F.lit(0.0))).otherwise(F.lit(1e12))
+    n, h = F.sum("n_docs"), F.count(F.lit(1))
+    moments = hosts.agg(mean.alias("m"), (F.sum(F.col("n_docs") * r * r) / n).alias("m2"), n.alias("n"), h.alias("h"))
+    chance = F.col("m") * (1 - F.col("m"))
+    v = F.when(F.col("n") > F.col("h"), (F.col("n") * (F.col("m2") - F.col("m") * F.col("m")) - F.col("h") * chance) / (F.col("n") - F.col("h")))
+    k = F.when(v > 1e-12, F.greatest(chance / v - 1, F.lit(0.0))).otherwise(F.lit(1e12))
     prior = moments.select("m", k.alias("k"))
     shrunk = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
     one = hosts.join(F.broadcast(prior))  # prior is one row
@@ -93,14 +97,15 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
 
 def apply_hosts(docs: DataFrame, verdicts: DataFrame, name: str = "host_rejected") -> DataFrame:
     """``docs`` with a flag of that name for rejected hosts. The verdicts are broadcast while they are few by count, else joined by salted host."""
-    bad = cut(verdicts.where("rejected").select(F.col("source").alias("_host")), "hosts")
+    host, own, salt = free(docs, "_host", "_own", "_salt")
+    bad = cut(verdicts.where("rejected").select(F.col("source").alias(host)), "hosts")
     if bad.count() <= BROADCAST_HOSTS:
-        joined = docs.join(F.broadcast(bad), docs["source"] == F.col("_host"), "left")
+        joined = docs.join(F.broadcast(bad), docs["source"] == F.col(host), "left")
     else:
-        salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = own.join(salted, (F.col("source") == F.col("_host")) & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
-    return joined.withColumn(name, F.col("_host").isNotNull()).drop("_host")
+        salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, (F.col("source") == F.col(host)) & (F.col(own) == F.col(salt)), "left").drop(own, salt)
+    return joined.withColumn(name, F.col(host).isNotNull()).drop(host)
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +125,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The documents with their verdict are written once, so that the rules run once for the host counts and the filter.
     """
     names = docs.columns
-    ruled = cut(with_rules(docs, "_rules").withColumn("_failed", F.col("_rules.base_failed")).drop("_rules"), "ruled")
-    verdicts = host_verdicts(ruled.select("source", F.col("_failed").alias("base_failed")))
-    return apply_hosts(ruled.where(~F.col("_failed")), verdicts, "_rejected").where(~F.col("_rejected")).select(*names)
+    rules, failed, rejected = free(docs, "_rules", "_failed", "_rejected")
+    ruled = cut(with_rules(docs, rules).withColumn(failed, F.col(f"{rules}.base_failed")).drop(rules), "ruled")
+    verdicts = host_verdicts(ruled.select("source", F.col(failed).alias("base_failed")))
+    return apply_hosts(ruled.where(~F.col(failed)), verdicts, rejected).where(~F.col(rejected)).select(*names)
 
 
 OP3_SQL = rf"""
@@ -144,8 +150,9 @@ WITH d AS (
 ), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source
-), m AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2 FROM hosts
-), prior AS (SELECT m, CASE WHEN m2 - m * m > 1e-12 THEN greatest(m * (1 - m) / (m2 - m * m) - 1, 0.0) ELSE 1e12 END AS k FROM m
+), m AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2, sum(n) AS n, count(*) AS h FROM hosts
+), v AS (SELECT m, CASE WHEN n > h THEN (n * (m2 - m * m) - h * m * (1 - m)) / (n - h) END AS v FROM m
+), prior AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 0.0) ELSE 1e12 END AS k FROM v
 ), bad AS (SELECT source FROM hosts, prior WHERE (f + m * k) / (n + k) > {MAX_HOST_RATE}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,4 +1,4 @@
-"""Toxicity by classifier chains: a linear model a category, each fed the categories before it.
+"""Toxicity by classifier chains: a linear model a category, each fed the categories before it, in every rotation of the categories.
 
 Training takes a bounded sample of the labelled rows (``TRAIN_ROWS``, by hash of doc_id). The document
 counts of its words and word beginnings are added up per batch and then by Spark; the ``FEATURES`` most associated with a category become features, present or not. The
@@ -66,9 +66,9 @@ class Sparse:
         return np.concatenate([np.bincount(self.of, weights=r[self.at], minlength=self.width), self.dense.T @ r])
 
 
-def fit(x: Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, start: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression by limited-memory BFGS; the last dense column is the intercept, without penalty."""
-    w = np.zeros(x.width + x.dense.shape[1])
+    w = np.zeros(x.width + x.dense.shape[1]) if start is None else start.copy()
     pen = np.full(len(w), ridge)
     pen[-1] = 0.0
 
@@ -125,16 +125,25 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(1 / (1 + np.exp(-cut_at))), float(f1[k])
 
 
-class Chain:
-    """The models of the categories in their order, over a vocabulary of words."""
+class Chains:
+    """Classifier chains over a vocabulary of words, one for each rotation of the categories.
+
+    In every chain a category's model is fed the categories before it. So each category comes first in one chain, last in another, and
+    its log odds are the mean over the chains: every verdict has passed through models that know the other categories.
+    """
 
     def __init__(self, vocabulary: list[str], categories: list[str]):
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         self.categories = categories
-        self.models: list[np.ndarray] = []
+        n = len(categories)
+        self.orders = [[(first + k) % n for k in range(n)] for first in range(n)]
+        #: The models of each chain, in its order.
+        self.models: list[list[np.ndarray]] = []
         #: Probabilities from which a category is flagged, and their F1, both from out-of-fold predictions.
         self.thresholds: list[float] = []
         self.f1: list[float] = []
+        #: F1 of each category in each chain alone.
+        self.f1_by_chain: list[list[float]] = []
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def numbers(self, text: str) -> set[int]:
@@ -150,46 +159,65 @@ class Chain:
                 out.update(own)
         return out
 
-    def train(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
+    def train(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chains:
         width, n = len(self.vocabulary), len(rows)
-        earlier = np.zeros((n, 0))
+        plain: dict[tuple[int, int], np.ndarray] = {}
+
+        def fitted(c: int, fold: int, some: np.ndarray, dense: np.ndarray) -> np.ndarray:
+            """A model of category c over some rows. It starts from the one over the same rows that knows no other category."""
+            y, x = labels[some, c].astype(float), [rows[i] for i in some]
+            if (c, fold) not in plain:
+                plain[c, fold] = fit(Sparse(x, width, np.ones((len(some), 1))), y)
+            if dense.shape[1] == 1:
+                return plain[c, fold]
+            start = plain[c, fold]
+            return fit(Sparse(x, width, dense[some]), y, start=np.concatenate([start[:width], np.zeros(dense.shape[1] - 1), start[width:]]))
+
+        total = np.zeros((n, len(self.categories)))
+        for order in self.orders:
+            earlier, models, f1 = np.zeros((n, 0)), [], [0.0] * len(order)
+            for c in order:
+                y = labels[:, c].astype(float)
+                dense = np.column_stack([earlier, np.ones(n)])
+                if n == 0 or y.min() == y.max():
+                    w = np.zeros(width + dense.shape[1])
+                    w[-1] = 0.0 if n == 0 else 12.0 if y[0] else -12.0
+                    out = np.full(n, w[-1])
+                else:
+                    w = fitted(c, -1, np.arange(n), dense)
+                    out = np.zeros(n)
+                    for k in range(FOLDS):
+                        seen, rest = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
+                        if len(seen) and len(rest):
+                            m = fitted(c, k, seen, dense)
+                            out[rest] = Sparse([rows[i] for i in rest], width, dense[rest]).times(m)
+                models.append(w)
+                f1[c] = best_cut(out, y)[1]
+                total[:, c] += out / len(self.orders)
+                earlier = np.column_stack([earlier, np.clip(out, -12, 12)])
+            self.models.append(models)
+            self.f1_by_chain.append(f1)
         for c in range(len(self.categories)):
-            y = labels[:, c].astype(float)
-            dense = np.column_stack([earlier, np.ones(n)])
-            if n == 0 or y.min() == y.max():
-                w = np.zeros(width + dense.shape[1])
-                w[-1] = 0.0 if n == 0 else 12.0 if y[0] else -12.0
-                out = np.full(n, w[-1])
-            else:
-                w = fit(Sparse(rows, width, dense), y)
-                out = np.zeros(n)
-                for k in range(FOLDS):
-                    seen, rest = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
-                    if len(seen) and len(rest):
-                        m = fit(Sparse([rows[i] for i in seen], width, dense[seen]), y[seen])
-                        out[rest] = Sparse([rows[i] for i in rest], width, dense[rest]).times(m)
-            self.models.append(w)
-            at, f1 = best_cut(out, y)
+            at, best = best_cut(total[:, c], labels[:, c].astype(float))
             self.thresholds.append(at)
-            self.f1.append(f1)
-            earlier = np.column_stack([earlier, np.clip(out, -12, 12)])
+            self.f1.append(best)
         return self
 
     def scores(self, texts: Iterable[str]) -> np.ndarray:
         """Probabilities, a row a text and a column a category."""
-        width = len(self.vocabulary)
-        own = np.stack([m[:width] for m in self.models], axis=1)
-        flat, sizes = [], []
+        width, flat, sizes = len(self.vocabulary), [], []
         for t in texts:
             found = self.numbers(t)
             flat += found
             sizes.append(len(found))
-        z = np.zeros((len(sizes), len(self.models)))
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        of = np.array(flat, dtype=np.int64)
-        for c, m in enumerate(self.models):
-            z[:, c] = np.bincount(at, weights=own[of, c], minlength=len(sizes)) + np.clip(z[:, :c], -12, 12) @ m[width:-1] + m[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        at, of = np.repeat(np.arange(len(sizes)), sizes), np.array(flat, dtype=np.int64)
+        total = np.zeros((len(sizes), len(self.categories)))
+        for order, models in zip(self.orders, self.models, strict=True):
+            z = np.zeros((len(sizes), len(order)))
+            for k, m in enumerate(models):
+                z[:, k] = np.bincount(at, weights=m[of], minlength=len(sizes)) + np.clip(z[:, :k], -12, 12) @ m[width:-1] + m[-1]
+            total[:, order] += z / len(self.orders)
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
 def _counted(ys: list[str]):
@@ -207,8 +235,8 @@ def _counted(ys: list[str]):
     return run
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = TRAIN_ROWS) -> Chain:
-    """A chain for ``categories`` (0/1 columns of ``labels``) over a sample of about ``rows`` labelled documents at most."""
+def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = TRAIN_ROWS) -> Chains:
+    """Chains for ``categories`` (0/1 columns of ``labels``) over a sample of about ``rows`` labelled documents at most."""
     labels = labels.where(F.col("doc_id").isNotNull() & ~F.greatest(*[F.col(c).isNull().cast("int") for c in categories], F.lit(0)).cast("boolean"))
     labels = labels.groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"_y{k}") for k, c in enumerate(categories)])
     share = min(1.0, rows / max(1, labels.count()))
@@ -226,7 +254,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows:
         for y, p in zip(ys, pos, strict=True)
     ]
     best = counts.orderBy(F.greatest(*away, F.lit(0.0)).desc(), "w").limit(FEATURES)
-    chain = Chain(sorted(r["w"] for r in best.select("w").collect()), categories)
+    chain = Chains(sorted(r["w"] for r in best.select("w").collect()), categories)
     sent = sample.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +268,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows:
     return chain.train(rows_, got[ys].to_numpy(), folds)
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
+def score(docs: DataFrame, chain: Chains) -> DataFrame:
     """doc_id and p_<category> of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
@@ -253,10 +281,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's probabilities: first of toxicity, then, knowing that, of low quality.
-
-    Those are the two categories that the labels have. Toxicity comes first by out-of-fold F1 in both orders (README).
-    """
+    """Every document's probabilities of toxicity and of low quality, the two categories that the labels have, each as the mean of two chains:
+    one in which it comes first, and one in which its model knows the other."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic", (1 - F.col("quality")).alias("low_quality"))
     docs = read(spark, sf_dir, "documents")
     chain = train_chain(docs, labels, ["toxic", "low_quality"])
