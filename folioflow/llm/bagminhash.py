@@ -34,9 +34,9 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Hashes of words, kept up to a bound."""
+    """Hashes of words, kept up to a bound, and only while a task runs."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -48,6 +48,11 @@ class Words(dict):
 _words = Words()
 
 
+def forget() -> None:
+    """Drops what is kept between batches. Workers outlive their tasks, so tasks call this at their end."""
+    _words.clear()
+
+
 def shingles(texts: list[str]) -> list[np.ndarray]:
     """For each text the sorted hashes of its word shingles, repeats included.
 

@@ -61,6 +61,7 @@ def _signed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "short": [s.tobytes() if f else None for s, f in zip(short, full, strict=True)],
                 }
             )
+    bag.forget()
 
 
 class _Bags:
@@ -83,6 +84,7 @@ def _verified(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         own = zip(b["u"], b["v"], b["text_u"], b["text_v"], strict=True)
         yield b.loc[[bag.overlap(bags(v, y), bags(u, x)) >= SIMILAR for u, v, x, y in own], ["u", "v"]]
+    bag.forget()
 
 
 def _candidates(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,7 @@ def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((g["ck"].iloc[x], g["ck"].iloc[y]))
         if out:
             yield pd.DataFrame(out, columns=["u", "v"])
+    bag.forget()
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
