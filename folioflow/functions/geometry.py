@@ -114,3 +114,34 @@ def variation(values: Column) -> Column:
     """Aggregate: population standard deviation over the mean, 0 for a mean of 0."""
     mean = F.avg(values)
     return F.when(mean != 0, F.stddev_pop(values) / mean).otherwise(F.lit(0.0))
+
+
+def variance(values: Column) -> Column:
+    """Mean squared distance of an array's numbers from their mean; 0 without any."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+    return F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n).otherwise(0.0)
+
+
+def mostly_overlaps(a: Column, b: Column) -> Column:
+    """Whether over half of the smaller box lies in the other."""
+    w = F.least(right(a), right(b)) - F.greatest(a["x"], b["x"])
+    h = F.least(top(a), top(b)) - F.greatest(a["y"], b["y"])
+    return (w > 0) & (h > 0) & (w * h > 0.5 * F.least(area(a), area(b)))
+
+
+def image_dpi(px_width: Column, px_height: Column, page_width: Column, page_height: Column) -> Column:
+    """Dots an inch of an image that spans its page, by its better side; 0 if the page's size isn't known."""
+    side = lambda px, points: F.when(points > 0, F.floor(px * 72 / points + 0.5)).otherwise(0)
+    return F.greatest(side(px_width, page_width), side(px_height, page_height), F.lit(0)).cast("int")
+
+
+def upscale(dpi: Column, least: int = 50, target: int = 300) -> Column:
+    """How much to enlarge an image towards the target, 3 at most; 1 near the target and for implausible figures."""
+    return F.when((dpi < least) | (dpi >= target - 50), 1.0).otherwise(F.least(F.lit(3.0), F.lit(float(target)) / dpi))
+
+
+def coverage(width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """Share of the page that a box covers, from 0 to 1."""
+    page = page_width * page_height
+    return F.when(page > 0, F.least(F.lit(1.0), F.abs(width * height) / page)).otherwise(0.0)

@@ -75,3 +75,9 @@ def list_markdown(items: Column, ordered: Column) -> Column:
 def embedding_text(v: Column) -> Column:
     """[a,b,...] with six decimals."""
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
+def with_cell(rows: Column, row: int, column: int, value: Column) -> Column:
+    """The table with another value in a cell; unchanged if there is no such cell."""
+    changed = lambda r: F.transform(r, lambda c, j: F.when(j == column, value).otherwise(c))
+    return F.transform(rows, lambda r, i: F.when(i == row, changed(r)).otherwise(r))

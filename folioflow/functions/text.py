@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.config import UNIT_BYTES, Limit, MetadataConfig
 
@@ -236,3 +240,88 @@ def column_letters(index: Column) -> Column:
         .when(index < 702, F.concat(letter(b), letter(c)))
         .otherwise(F.concat(letter(a), letter(F.floor((index - 702) / 26) % 26), letter(c)))
     )
+
+
+# Lines that introduce a list, in the wider vocabulary.
+WIDE_INTRO = [
+    r"\b(the\s+following|here\s+are|these\s+(are|include)|below\s+(are|is)|as\s+follows)\s*:\s*$",
+    r"\b(steps?|features?|items?|points?|reasons?|benefits?|advantages?|disadvantages?|options?|examples?|requirements?|prerequisites?|instructions?|"
+    r"guidelines?|rules?|conditions?|criteria|objectives?|goals?|tasks?|actions?|methods?|approaches?|techniques?|strategies?|tips?|recommendations?|"
+    r"suggestions?|notes?|warnings?|cautions?|considerations?)\s*:?\s*$",
+    r"\b(include|includes|including|consist\s+of|consists\s+of|comprised\s+of|such\s+as|for\s+example|for\s+instance|e\.g\.|i\.e\.)\s*:?\s*$",
+    r"\b(you\s+(can|should|must|need\s+to|will)|we\s+(can|should|must|will)|to\s+do\s+this)\s*:?\s*$",
+    r"\b\w+\s*:\s*$",
+]
+ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
+
+
+def introduces_list_widely(text: Column) -> Column:
+    """Whether a text, trimmed, ends like the introduction of a list."""
+    text, out = trimmed(text), F.lit(False)
+    for p in WIDE_INTRO:
+        out = out | text.rlike("(?i)" + p)
+    return (text != "") & out
+
+
+def char_direction(char: Column) -> Column:
+    """rtl, ltr or neutral for one character: digits, punctuation, spaces and symbols are neutral."""
+    neutral = char.rlike(r"^[\p{Nd}\p{P}\p{Z}\p{S}\t\n\x0B\f\r]$")
+    rtl = char.rlike(r"^[\u0590-\u05FF\u0600-\u07FF\u08A0-\u08FF\uFB1D-\uFDFF\uFE70-\uFEFF]$")
+    return F.when(neutral, "neutral").when(rtl, "rtl").otherwise("ltr")
+
+
+def contains_digit(text: Column) -> Column:
+    return text.rlike("[0-9]")
+
+
+def upper_roman(n: Column) -> Column:
+    """Roman numeral of 1 to 3999; other numbers in digits."""
+    out, rest = F.lit(""), n
+    for value, symbol in ROMAN:
+        out = F.concat(out, F.repeat(F.lit(symbol), F.floor(rest / value).cast("int")))
+        rest = rest % value
+    return F.when((n < 1) | (n > 3999), n.cast("string")).otherwise(out)
+
+
+def lower_letters(n: Column) -> Column:
+    """1 is a, 26 z, 27 aa; a for numbers under 1."""
+    return F.when(n < 1, "a").otherwise(F.lower(column_letters(n - 1)))
+
+
+def decoded_utf16(data: Column, big_endian: bool = True) -> Column:
+    return F.decode(data, "UTF-16BE" if big_endian else "UTF-16LE")
+
+
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
+
+
+def composed(text: Column) -> Column:
+    """Unicode normal form C. Spark has no function for it; texts in Latin-1 are in that form already and don't leave the JVM."""
+    return F.when(text.rlike(r"^[\x00-\xFF]*$"), text).otherwise(_composed(text))
+
+
+def extension(file_format: Column) -> Column:
+    """The usual file extension of a format, or empty."""
+    known = ("pdf", "docx", "odt", "xlsx", "pptx", "html", "epub")
+    return F.when(F.lower(file_format).isin(*known), F.concat(F.lit("."), F.lower(file_format))).otherwise("")
+
+
+def warnings_text(warnings: Column) -> Column:
+    """The messages of warnings (code, message), by semicolons."""
+    return F.array_join(F.transform(warnings, lambda w: w["message"]), "; ")
+
+
+def appended_once(values: Column, value: Column) -> Column:
+    """The array with the value at its end, unless it is in it."""
+    return F.when(F.array_contains(values, value), values).otherwise(F.array_append(values, value))
+
+
+def value_text(value: Column, kind: str) -> Column:
+    """A value as a CSV field: floats with six decimals, booleans in lower case, arrays in brackets."""
+    if kind in ("double", "float"):
+        return F.format_string("%.6f", value.cast("double"))
+    if kind.startswith("array"):
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: value_text(x, kind[6:-1])), ","), F.lit("]"))
+    return F.to_json(value) if kind.startswith(("struct", "map")) else value.cast("string")

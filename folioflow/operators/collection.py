@@ -114,3 +114,27 @@ def collection_markdown(chunks: DataFrame, by: str = "\n\n---\n\n") -> DataFrame
 def contents(chunks: DataFrame) -> DataFrame:
     """doc_id and toc: one line a distinct section, in the order they are first seen."""
     return sections(chunks).select("doc_id", F.array_join(F.transform("sections", lambda s: F.concat(F.lit("- "), s)), "\n").alias("toc"))
+
+
+def chunk_markdown(ids: bool = False, pages: bool = False, offset: int = 0, most: int = 6) -> Column:
+    """A chunk as Markdown: its id as a comment, its section as a heading, its text, its pages; the heading stands for a text that only repeats it."""
+    title = F.coalesce("section_title", F.lit(""))
+    level = F.coalesce(F.when(F.col("heading_level") > 0, F.col("heading_level")), F.lit(2)) + offset
+    level = F.least(F.greatest(level, F.lit(1)), F.lit(most)) if most > 0 else F.greatest(level, F.lit(1))
+    parts = [F.when(title != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title, F.lit("\n\n"))).otherwise(""), F.when(F.col("text") == title, "").otherwise(F.col("text"))]
+    if ids:
+        parts.insert(0, F.when(F.coalesce("id", F.lit("")) != "", F.concat(F.lit("<!-- chunk: "), "id", F.lit(" -->\n"))).otherwise(""))
+    if pages:
+        parts.append(F.when(F.col("page_start") > 0, F.concat(F.lit("\n\n*"), T.page_range(F.col("page_start"), F.col("page_end")), F.lit("*"))).otherwise(""))
+    return F.concat(*parts)
+
+
+def by_index(chunks: DataFrame, index: int) -> DataFrame:
+    """The chunk with a place in each document."""
+    return chunks.where(F.col("chunk_index") == index)
+
+
+def statistics_json(chunks: DataFrame, *keys: str) -> DataFrame:
+    """Keys and the statistics as one JSON object."""
+    own = statistics(chunks, *keys)
+    return own.select(*keys, F.to_json(F.struct(*[c for c in own.columns if c not in keys])).alias("json"))

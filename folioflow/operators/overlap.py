@@ -81,6 +81,42 @@ def best_boundary(cuts: DataFrame, least: int, most: int) -> DataFrame:
     return inside.groupBy("doc_id").agg(F.max_by(F.struct("position", "score"), F.struct("score", (-F.col("position")).alias("p"))).alias("b")).select("doc_id", "b.*")
 
 
+def boundary_near(cuts: DataFrame, position: int, tolerance: int) -> DataFrame:
+    """The best cut within a tolerance of an offset, the earliest of equals."""
+    return best_boundary(cuts, max(0, position - tolerance), position + tolerance)
+
+
+def boundary_ahead(cuts: DataFrame, target: int, look_ahead: int = 200) -> DataFrame:
+    """The best cut within half the look-ahead of a target."""
+    return boundary_near(cuts, target, look_ahead // 2)
+
+
+def boundary_within(cuts: DataFrame, cut: int, window: int, upper: int) -> DataFrame:
+    """The best cut from 1 to ``upper`` within a window of an offset; of equals the one nearest to it, then the earliest."""
+    inside = cuts.where(F.col("position").between(max(1, cut - window), min(upper, cut + window)))
+    rank = F.struct("score", (-F.abs(F.col("position") - cut)).alias("d"), (-F.col("position")).alias("p"))
+    return inside.groupBy("doc_id").agg(F.max_by(F.struct("position", "score"), rank).alias("b")).select("doc_id", "b.*")
+
+
+def sides(data: Column, position: Column) -> tuple[Column, Column]:
+    """Bytes of a text before and behind an offset, without white space at their ends."""
+    size = lambda part: F.octet_length(X.trimmed(F.decode(part, "UTF-8")))
+    raw = F.encode(data, "UTF-8")
+    return size(F.substring(raw, F.lit(1), position.cast("int"))), size(F.substring(raw, position.cast("int") + 1, F.octet_length(raw)))
+
+
+def orphans(text: Column, position: Column, least: int) -> Column:
+    """Whether a cut of the text leaves a side that isn't empty but, trimmed, too small."""
+    before, behind = sides(text, position)
+    return ((before > 0) & (before < least)) | ((behind > 0) & (behind < least))
+
+
+def without_orphans(text: Column, position: Column, cuts: Column, least: int) -> Column:
+    """The position, or if it leaves an orphan the first of the cuts (an array, in order) nearer than ``least`` that leaves none."""
+    good = F.filter(cuts, lambda c: (c > position - least) & (c < position + least) & ~orphans(text, c, least))
+    return F.when(orphans(text, position, least), F.coalesce(F.get(good, F.lit(0)), position)).otherwise(position)
+
+
 def makes_orphan(position: Column, total: Column, least: int) -> Column:
     """Whether a cut leaves a side that isn't empty but too small."""
     return ((position > 0) & (position < least)) | ((total - position > 0) & (total - position < least))

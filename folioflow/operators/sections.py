@@ -138,3 +138,22 @@ def atomic_blocks(elements: DataFrame) -> DataFrame:
     own = own.withColumn("_b", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kind = F.max(F.when(F.col("type").isin("table", "list", "image"), F.col("type")))
     return own.groupBy("doc_id", "_b").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), kind.alias("kind")).where("kind is not null").drop("_b")
+
+
+def block_at(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, pos, ...) with block_first, block_last and block_kind of the atomic block they lie in, null outside.
+
+    Blocks don't overlap, so the one that began last is looked at alone: a union and a running last value, without a join on ranges.
+    """
+    a = rows.select("doc_id", "pos", F.lit(1).alias("_k"), F.struct(*rows.columns).alias("_r"), F.lit(None).cast("struct<first:long,last:long,kind:string>").alias("_b"))
+    own = F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "kind")
+    b = blocks.select("doc_id", F.col("first").alias("pos"), F.lit(0).alias("_k"), F.lit(None).cast(a.schema["_r"].dataType).alias("_r"), own.alias("_b"))
+    w = Window.partitionBy("doc_id").orderBy("pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn("_b", F.last("_b", ignorenulls=True).over(w)).where("_k = 1")
+    inside = F.col("_b.last") >= F.col("pos")
+    return out.select("_r.*", *[F.when(inside, F.col(f"_b.{c}")).alias(f"block_{c}") for c in ("first", "last", "kind")])
+
+
+def within_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` with ``within``: whether they lie in an atomic block."""
+    return block_at(rows, blocks).withColumn("within", F.col("block_first").isNotNull()).drop("block_first", "block_last", "block_kind")

@@ -758,3 +758,6 @@ def _(read):
 @query("event_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(read):
     return read("events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+from folioflow.plans import catalog_more  # noqa: E402, F401  its queries register themselves

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.tables import embedding_text
 from folioflow.operators.ranks import running
@@ -106,3 +107,38 @@ def write_batches(chunks: DataFrame, path: str, size: int) -> None:
     """One folder a batch number."""
     own = batches(chunks, size)
     json_lines(own).join(own.select("doc_id", "chunk_index", "batch"), ["doc_id", "chunk_index"]).select("batch", "value").write.partitionBy("batch").text(path)
+
+
+def pretty_metadata(chunks: DataFrame, fields: tuple[str, ...] = METADATA) -> Column:
+    """The metadata as indented JSON."""
+    return F.to_json(metadata(chunks, fields), {"pretty": "true"})
+
+
+def flattened(value: Column, kind: str, prefix: str = "") -> Column:
+    """A struct as a map from dotted names to texts, in the order of its fields. ``kind`` is its type."""
+    maps = []
+    for f in T._parse_datatype_string(kind):
+        name, own = f"{prefix}{f.name}", value[f.name]
+        if isinstance(f.dataType, T.StructType):
+            maps.append(flattened(own, f.dataType.simpleString(), f"{name}."))
+        else:
+            maps.append(F.create_map(F.lit(name), own.cast("string")))
+    return F.map_concat(*maps)
+
+
+#: Columns that a CSV export has always, behind id and text.
+CSV_COLUMNS = ("chunk_index", "document_title", "page_start", "page_end", "section_title", "has_table", "has_list", "has_image")
+
+
+def csv_columns(fields: tuple[str, ...]) -> list[str]:
+    """Names of a CSV export: id, text, the fixed ones, then the other metadata in order."""
+    return ["id", "text", *CSV_COLUMNS, *(f for f in fields if f not in CSV_COLUMNS)]
+
+
+def as_string(chunks: DataFrame, form: str = "jsonl") -> DataFrame:
+    """doc_id and the whole export of each document as one text."""
+    if form == "json":
+        return json_array(chunks).withColumnRenamed("json", "value")
+    lines = json_lines(chunks) if form == "jsonl" else delimited(chunks, "," if form == "csv" else "\t").withColumnRenamed("line", "value")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "value")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
