@@ -30,11 +30,37 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], new: Column, na
     return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
+def line_tolerance(config: LayoutConfig = LayoutConfig()) -> Column:
+    """An aggregate over a page's fragments: how far a baseline may be from its line's mean.
+
+    Half the mean height; but where the tenth percentile of the gaps between baselines is under that, coordinates are compressed, and it is a fifth
+    of that gap, 0.15 at least. Baselines count by tenths of a point, gaps over 0.1.
+    """
+    height = F.avg("height")
+    standard = height * config.line_height_tolerance
+    ys = F.array_sort(F.collect_set((F.col("y") * 10).cast("long") / 10))
+    gaps = F.array_sort(F.filter(F.transform(ys, lambda y, i: F.when(i > 0, y - F.get(ys, i - 1))), lambda g: g > 0.1))
+    least = F.get(gaps, F.floor(F.size(gaps) / 10).cast("int"))
+    return F.when((F.size(ys) >= 3) & (least < 0.5 * height), F.greatest(0.2 * least, F.lit(0.15))).otherwise(standard)
+
+
 def line_numbers(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """``fragments`` with ``line``: a new one where y falls by more than the tolerance from the fragment before."""
-    order = [F.col("y").desc(), F.col("x"), F.col("seq")]
-    before = F.lag("y").over(Window.partitionBy(*PAGE).orderBy(*order))
-    return islands(fragments, PAGE, order, F.abs(F.col("y") - before) > config.line_height_tolerance * F.col("height"), "line")
+    """``fragments`` with ``line``: a new one, from top to bottom, where y is further from the mean of the line so far than the page's tolerance."""
+    rest = [c for c in fragments.columns if c not in PAGE]
+    piece = F.struct((-F.col("y")).alias("o"), F.col("seq").alias("s"), F.struct(*rest).alias("f"))
+    pages = fragments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(piece)).alias("_p"), line_tolerance(config).alias("_t"))
+    state = lambda total, n, line, out: F.struct(total.alias("total"), n.alias("n"), line.alias("line"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        y = -x["o"]
+        new = (acc["n"] > 0) & (F.abs(y - acc["total"] / acc["n"]) > F.col("_t"))
+        line = acc["line"] + new.cast("long")
+        return state(F.when(new, y).otherwise(acc["total"] + y), F.when(new, F.lit(1).cast("long")).otherwise(acc["n"] + 1), line, F.array_append(acc["out"], line))
+
+    zero = F.lit(0).cast("long")
+    found = F.aggregate("_p", state(F.lit(0.0), zero, zero, F.expr("cast(array() as array<bigint>)")), step, lambda acc: acc["out"])
+    own = pages.withColumn("_n", found).select(*PAGE, F.explode(F.transform("_p", lambda x, i: F.struct(x["f"].alias("f"), F.get(F.col("_n"), i).alias("line")))).alias("_x"))
+    return own.select(*PAGE, *[F.col(f"_x.f.{c}").alias(c) for c in rest], F.col("_x.line").alias("line"))
 
 
 def lines(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -96,12 +122,12 @@ def reading_order(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -
     """``fragments`` with ``position``: column by column, from right to left where most text is, lines from top to bottom."""
     own = columns(fragments, config)
     rtl = F.sum(F.when(X.direction(F.col("text")) == "rtl", 1).when(X.direction(F.col("text")) == "ltr", -1).otherwise(0)).over(Window.partitionBy(*PAGE)) > 0
-    own = own.withColumn("_c", F.when(rtl, -F.col("column")).otherwise(F.col("column")))
-    order = [F.col("y").desc(), F.col("x"), F.col("seq")]
-    before = F.lag("y").over(Window.partitionBy(*PAGE, "_c").orderBy(*order))
-    own = islands(own, [*PAGE, "_c"], order, F.abs(F.col("y") - before) > config.line_height_tolerance * F.col("height"), "_l")
-    w = Window.partitionBy(*PAGE).orderBy("_c", "_l", "x", "seq")
-    return own.withColumn("position", F.row_number().over(w).cast("long")).drop("_c", "_l")
+    # Lines are found in each column by itself: for that, a column is a page.
+    own = own.withColumn("_c", F.when(rtl, config.most_columns - 1 - F.col("column")).otherwise(F.col("column")))
+    own = line_numbers(own.withColumn("_page", F.col("page")).withColumn("page", F.col("page") * config.most_columns + F.col("_c")), config)
+    own = own.withColumn("page", F.col("_page")).drop("_page")
+    w = Window.partitionBy(*PAGE).orderBy("_c", "line", "x", "seq")
+    return own.withColumn("position", F.row_number().over(w).cast("long")).drop("_c", "line")
 
 
 def blocks(line_rows: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -216,6 +242,107 @@ def page_text(line_rows: DataFrame, config: LayoutConfig = LayoutConfig()) -> Da
     return pieces.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_t"))), lambda x: x["_t"]), "").alias("text"))
 
 
+def joined_text(paragraph_rows: DataFrame) -> DataFrame:
+    """Text of a page by paragraphs: their lines joined by spaces, an empty line between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("paragraph", "text")))
+    return paragraph_rows.groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def column_text(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """Text of a page column by column: a line break between lines, an empty line at gaps over 0.8 heights and between columns."""
+    own = columns(fragments, config).withColumn("_page", F.col("page")).withColumn("page", F.col("page") * config.most_columns + F.col("column"))
+    rows = lines(own.drop("column"), config)
+    w = Window.partitionBy(*PAGE).orderBy("line")
+    gap = F.lag("box.y").over(w) - G.top(F.col("box"))
+    lead = F.when(gap.isNull(), "").when(gap > 0.8 * F.col("box.height"), "\n\n").otherwise("\n")
+    pieces = rows.withColumn("_t", F.concat(lead, X.trimmed(F.col("text"))))
+    each = pieces.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_t"))), lambda x: x["_t"]), "").alias("_t"))
+    each = each.withColumn("_c", F.col("page") % config.most_columns).withColumn("page", F.floor(F.col("page") / config.most_columns))
+    return each.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+
+
+def spaced_text(fragments: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """Text of a page as it looks in a font of equal widths: spaces up to each fragment's place, line breaks by the gaps.
+
+    A character is 0.6 of the mean font size wide, but 40 to 200 of them fill the page. Fragments within half a height of a line's first one
+    share its line.
+    """
+    size = F.avg(F.when(F.col("font_size") > 0, F.col("font_size")))
+    wide = F.coalesce(0.6 * size, F.lit(page_width / 80))
+    fit = F.floor(F.lit(page_width) / wide)
+    wide = F.when(fit < 40, page_width / 40).when(fit > 200, page_width / 200).otherwise(wide)
+    piece = F.struct((-F.col("y")).alias("o"), F.col("seq").alias("s"), "x", "y", "height", "text")
+    pages = fragments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(piece)).alias("_p"), wide.alias("_w"))
+    # Lines first: for each fragment its line, by the line's first baseline and greatest height so far.
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("h"), F.lit(0).cast("long").alias("line"), F.expr("cast(array() as array<bigint>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["y"].isNotNull() & (F.abs(x["y"] - acc["y"]) > 0.5 * acc["h"])
+        line = acc["line"] + new.cast("long")
+        return F.struct(
+            F.when(new | acc["y"].isNull(), x["y"]).otherwise(acc["y"]).alias("y"), F.when(new, x["height"]).otherwise(F.greatest(acc["h"], x["height"])).alias("h"),
+            line.alias("line"), F.array_append(acc["out"], line).alias("out"),
+        )
+
+    own = pages.withColumn("_n", F.aggregate("_p", start, step, lambda acc: acc["out"]))
+    own = own.select(*PAGE, "_w", F.explode(F.transform("_p", lambda x, i: F.struct(F.get(F.col("_n"), i).alias("line"), x["x"].alias("x"), x["s"].alias("s"), x["y"].alias("y"), x["height"].alias("h"), x["text"].alias("t")))).alias("f"))
+    ordered = F.array_sort(F.collect_list(F.struct("f.x", "f.s", "f.t")))
+    rows = own.groupBy(*PAGE, "_w", "f.line").agg(ordered.alias("l"), F.max_by("f.y", F.struct("f.y", -F.col("f.s"))).alias("y"), F.max("f.h").alias("h"))
+    place = lambda x: F.greatest(F.floor(x["x"] / F.col("_w")).cast("int"), F.lit(0))
+    padded = F.aggregate("l", F.lit(""), lambda acc, x: F.concat(acc, F.repeat(F.lit(" "), F.greatest(place(x) - F.octet_length(acc), F.lit(0))), x["t"]))
+    gap = F.floor((F.lag("y").over(Window.partitionBy(*PAGE).orderBy("line")) - F.col("y")) / F.when(F.col("h") > 0, F.col("h")).otherwise(1.2 * F.col("_w")) + 0.5)
+    rows = rows.select(*PAGE, "line", padded.alias("t"), F.greatest(gap, F.lit(1)).cast("int").alias("gap"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("line", "t", "gap"))), lambda x, i: F.concat(F.when(i > 0, F.repeat(F.lit("\n"), x["gap"])).otherwise(""), x["t"]))
+    return rows.groupBy(*PAGE).agg(F.array_join(whole, "").alias("text"))
+
+
+def line_statistics(line_rows: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """spacing and height of a page's lines on average; gaps that aren't over zero don't count."""
+    return line_rows.groupBy(*PAGE).agg(F.avg(F.when(F.col("after") > 0, F.col("after"))).alias("spacing"), F.avg("box.height").alias("height"), F.count(F.lit(1)).alias("n"))
+
+
+def with_breaks(line_rows: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
+    """``line_rows`` with ``breaks``: whether a paragraph ends behind the line, by a gap over one and a half times the page's mean."""
+    mean = F.avg(F.when(F.col("after") > 0, F.col("after"))).over(Window.partitionBy(*PAGE))
+    return line_rows.withColumn("breaks", F.coalesce(F.col("after") > config.paragraph_spacing * mean, F.lit(False)))
+
+
+def aligned_as(line_rows: DataFrame, alignment: str) -> DataFrame:
+    return line_rows.where(F.col("alignment") == alignment)
+
+
+def styled_as(paragraph_rows: DataFrame, style: str) -> DataFrame:
+    return paragraph_rows.where(F.col("style") == style)
+
+
+def headings_between(heading_rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Headings of levels from first to last."""
+    return heading_rows.where(F.col("level").between(first, last))
+
+
+def outline(heading_rows: DataFrame, order: list[str]) -> DataFrame:
+    """``heading_rows`` with ``item``, their number in the document, and ``parent``, the number of the last heading before of a lower level (null at the top)."""
+    w = Window.partitionBy("doc_id").orderBy(*order)
+    own = heading_rows.withColumn("item", (F.row_number().over(w) - 1).cast("long"))
+    by = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.max(F.when(F.col("level") <= k, F.col("item"))).over(by) for k in range(1, 6)]
+    parent = F.lit(None).cast("long")
+    for k, c in enumerate(above, 1):
+        parent = F.when(F.col("level") == k + 1, c).otherwise(parent)
+    return own.withColumn("parent", parent)
+
+
+def merged_blocks(block_rows: DataFrame) -> DataFrame:
+    """Blocks whose boxes overlap for the most part, joined to the first of them: text, box, n."""
+    other = block_rows.select(*PAGE, F.col("block").alias("_b"), F.col("box").alias("_x"))
+    first = block_rows.join(other, PAGE).where((F.col("_b") < F.col("block")) & G.mostly_overlaps(F.col("box"), F.col("_x")))
+    first = first.groupBy(*PAGE, "block").agg(F.min("_b").alias("_first"))
+    own = block_rows.join(first, [*PAGE, "block"], "left").withColumn("_first", F.coalesce("_first", "block"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n")
+    hull = G.hull(F.col("box.x"), F.col("box.y"), F.col("box.width"), F.col("box.height"))
+    return own.groupBy(*PAGE, F.col("_first").alias("block")).agg(text.alias("text"), hull.alias("box"), F.sum("n").alias("n"))
+
+
 def is_character_level(fragments: DataFrame) -> DataFrame:
     """Pages with ten fragments or more of which over 60 percent are single characters."""
     n, one = F.count(F.lit(1)), F.count_if(F.length("text") == 1)

@@ -27,15 +27,17 @@ def with_intro(blocks: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def split_points(items: Column, least: int = 3) -> Column:
-    """Indexes of top-level items a list may be split at, ``least`` items from both ends."""
-    i = F.sequence(F.lit(least), F.size(items) - least)
-    return F.when(F.size(items) >= 2 * least, F.filter(i, lambda k: F.get(items, k)["level"] <= 0)).otherwise(F.expr("cast(array() as array<int>)"))
+    """Indexes of top-level items without items under them that a list may be split at, behind the first ``least`` items."""
+    level = lambda k: F.get(items, k)["level"]
+    alone = lambda k: (level(k) <= 0) & F.coalesce(level(k + 1) <= level(k), F.lit(True))
+    return F.when(F.size(items) > least, F.filter(F.sequence(F.lit(least), F.size(items) - 1), alone)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def kept_together(items: Column, most: int = 3000, least: int = 3) -> Column:
-    """Whether a list is small enough, short enough, or has no point to split it at."""
+    """Whether a list is small enough, short enough, or nested without a point to split it at."""
     size = F.aggregate(items, F.lit(0), lambda a, x: a + F.octet_length(x["text"]) + 1)
-    return (size <= most) | (F.size(items) < 2 * least) | (F.size(split_points(items, least)) == 0)
+    nested = F.exists(items, lambda x: x["level"] > 0)
+    return (size <= most) | (F.size(items) < least) | (nested & (F.size(split_points(items, least)) == 0))
 
 
 def normalised(line: Column, ordered: Column, number: Column) -> Column:

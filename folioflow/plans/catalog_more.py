@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from folioflow.functions import geometry as G
 from folioflow.functions import tables as TB
 from folioflow.functions import text as X
-from folioflow.operators import collection, elements, overlap, page_lists
+from folioflow.config import LayoutConfig
+from folioflow.operators import collection, elements, layout, overlap, page_lists
 from folioflow.operators import sections as SC
 from folioflow.plans import export
-from folioflow.plans.catalog import CHUNKS, LINES, ORACLE_SQL, QUERIES, WORDS, query, text
+from folioflow.plans.catalog import CHUNKS, FRAGS, LINES, NUMBERED_LINES, ORACLE_SQL, QUERIES, WORDS, _fragments, query, text
 
 # ---- Joins, sets, groups and windows
 
@@ -217,6 +218,72 @@ def _(read):
     return own.select("doc_id", page_lists.formatted(F.col("items"), F.lit("The steps:")).alias("marked"), page_lists.formatted(F.col("items"), F.lit(None).cast("string"), markers=False).alias("plain"))
 
 
+# ---- Lines and text of pages
+
+DRIFT = "f AS (SELECT doc_id, page, seq, text, x, y - (seq % 8) * 2.5 AS y, width, height, font_size FROM f0)"
+RECURSIVE_LINES = """o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, seq) AS i FROM f),
+ ys AS (SELECT doc_id, page, avg(height) AS h, list_sort(list_distinct(list(trunc(y * 10) / 10))) AS l FROM f GROUP BY ALL),
+ gp AS (SELECT *, list_sort(list_filter(list_transform(range(1, len(l)), lambda k: l[k + 1] - l[k]), lambda g: g > 0.1)) AS g FROM ys),
+ tol AS (SELECT doc_id, page, CASE WHEN len(l) >= 3 AND len(g) > 0 AND g[len(g) // 10 + 1] < h * 0.5 THEN greatest(0.15, 0.2 * g[len(g) // 10 + 1]) ELSE h * 0.5 END AS t FROM gp),
+ r AS (SELECT doc_id, page, seq, i, y::DOUBLE AS s, 1 AS n, 0 AS line FROM o WHERE i = 1 UNION ALL
+  SELECT o.doc_id, o.page, o.seq, o.i, CASE WHEN abs(o.y - r.s / r.n) <= t THEN r.s + o.y ELSE o.y END, CASE WHEN abs(o.y - r.s / r.n) <= t THEN r.n + 1 ELSE 1 END, CASE WHEN abs(o.y - r.s / r.n) <= t THEN r.line ELSE r.line + 1 END
+  FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.i = r.i + 1 JOIN tol ON tol.doc_id = o.doc_id AND tol.page = o.page)"""
+
+
+def _drifting(read, step: float = 2.5) -> DataFrame:
+    return _fragments(read).withColumn("y", F.col("y") - (F.col("seq") % 8) * step)
+
+
+@query("line_grouping_drift", f"WITH RECURSIVE {FRAGS.replace('f AS', 'f0 AS', 1)}, {DRIFT}, {RECURSIVE_LINES} SELECT doc_id, page, seq, line::BIGINT AS line FROM r")
+def _(read):
+    return layout.line_numbers(_drifting(read)).select("doc_id", "page", "seq", "line")
+
+
+@query("line_grouping_compressed", f"WITH RECURSIVE {FRAGS.replace('f AS', 'f0 AS', 1)}, {DRIFT.replace('* 2.5', '* 0.7')}, {RECURSIVE_LINES} SELECT doc_id, page, seq, line::BIGINT AS line FROM r")
+def _(read):
+    return layout.line_numbers(_drifting(read, 0.7)).select("doc_id", "page", "seq", "line")
+
+
+NUMBERED_ROWS = f"""{NUMBERED_LINES}, ln AS (SELECT doc_id, page, line, min(y) AS baseline, max(y + height) - min(y) AS height FROM h GROUP BY ALL),
+ gaps AS (SELECT *, lag(baseline) OVER w - baseline AS before, baseline - lead(baseline) OVER w AS after FROM ln WINDOW w AS (PARTITION BY doc_id, page ORDER BY line))"""
+
+
+@query("line_statistics", f"WITH {NUMBERED_ROWS} SELECT doc_id, page, round(avg(after) FILTER (after > 0), 6) AS spacing, round(avg(height), 6) AS height, count(*) AS n FROM gaps GROUP BY doc_id, page")
+def _(read):
+    return layout.line_statistics(layout.lines(_fragments(read))).select("doc_id", "page", F.round("spacing", 6).alias("spacing"), F.round("height", 6).alias("height"), "n")
+
+
+@query("paragraph_breaks", f"WITH {NUMBERED_ROWS} SELECT doc_id, page, line::BIGINT AS line, coalesce(after > 1.5 * avg(after) FILTER (after > 0) OVER (PARTITION BY doc_id, page), false) AS breaks FROM gaps")
+def _(read):
+    return layout.with_breaks(layout.lines(_fragments(read))).select("doc_id", "page", "line", "breaks")
+
+
+@query("line_gaps", f"WITH {NUMBERED_ROWS} SELECT doc_id, page, line::BIGINT AS line, before, after FROM gaps")
+def _(read):
+    return layout.lines(_fragments(read)).select("doc_id", "page", "line", "before", "after")
+
+
+@query("outline", f"WITH {FRAGS}, hd AS (SELECT doc_id, page, seq, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY round(font_size * 10) DESC), 6) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq) - 1 AS item FROM f WHERE seq % 5 = 0) SELECT a.doc_id, a.item, a.level::BIGINT AS level, (SELECT max(b.item) FROM hd b WHERE b.doc_id = a.doc_id AND b.item < a.item AND b.level < a.level) AS parent FROM hd a")
+def _(read):
+    own = layout.ranked_levels(_fragments(read).where("seq % 5 = 0"))
+    return layout.outline(own, ["page", "seq"]).select("doc_id", "item", "level", "parent")
+
+
+@query("spaced_text", f"""WITH {FRAGS}, p AS (SELECT *, avg(font_size) OVER (PARTITION BY doc_id, page) * 0.6 AS w FROM f), c AS (SELECT *, CASE WHEN floor(612 / w) < 40 THEN 612 / 40.0 WHEN floor(612 / w) > 200 THEN 612 / 200.0 ELSE w END AS cw FROM p),
+ k AS (SELECT *, floor(x / cw)::INT AS place, row_number() OVER (PARTITION BY doc_id, page, y ORDER BY x, seq) AS i FROM c),
+ t AS (SELECT doc_id, page, y, i, repeat(' ', place) || text AS line FROM k WHERE i = 1 UNION ALL SELECT k.doc_id, k.page, k.y, k.i, t.line || repeat(' ', greatest(k.place - strlen(t.line), 0)) || k.text FROM t JOIN k ON k.doc_id = t.doc_id AND k.page = t.page AND k.y = t.y AND k.i = t.i + 1),
+ w AS (SELECT doc_id, page, y, arg_max(line, i) AS line FROM t GROUP BY ALL), v AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS above FROM w), g AS (SELECT *, CASE WHEN above IS NOT NULL THEN greatest(floor((above - y) / 12 + 0.5), 1)::INT END AS gap FROM v)
+ SELECT doc_id, page, string_agg(CASE WHEN gap IS NULL THEN '' ELSE repeat(chr(10), gap) END || line, '' ORDER BY y DESC) AS text FROM g GROUP BY doc_id, page""".replace("WITH f", "WITH RECURSIVE f", 1))
+def _(read):
+    return layout.spaced_text(_fragments(read))
+
+
+@query("column_text", f"WITH {NUMBERED_LINES}, t AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x, seq) AS t, min(y) AS y FROM h GROUP BY ALL) SELECT doc_id, page, count(*) AS n FROM t GROUP BY doc_id, page")
+def _(read):
+    # As many lines as there are, over all columns of a page that has one column.
+    return layout.column_text(_fragments(read), LayoutConfig(column_gap=1000.0)).select("doc_id", "page", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("n"))
+
+
 # ---- Boundaries and atomic blocks
 
 CUTS = """cuts AS (SELECT p_partkey // 100 AS doc_id, sum(p_size) OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey)::BIGINT AS position, (p_partkey * 7 % 5)::BIGINT AS score FROM part)"""
