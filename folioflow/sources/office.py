@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioflow.schemas import ELEMENTS, FIELDS
 from folioflow.sources import html
-from folioflow.sources.detect import by_name
+from folioflow.sources.detect import by_name, checked
 
 
 def tag(node: ET.Element) -> str:
@@ -190,13 +190,17 @@ def odt(content: bytes) -> Iterator[dict]:
                 rows = []
                 heads = {id(r) for h in below(k, "table-header-rows") for r in below(h, "table-row")}
                 for r in below(k, "table-row"):
-                    row = []
+                    # Cells and rows can be said to repeat; empty ones at the end only fill the sheet.
+                    row: list[tuple] = []
                     for c in r:
                         if tag(c) in ("table-cell", "covered-table-cell"):
                             value = "\n".join(text(p) for p in below(c, "p")).strip()
                             made = cell(value, id(r) in heads, int(attr(c, "number-rows-spanned", "1")), int(attr(c, "number-columns-spanned", "1")))
-                            row += [made] * min(int(attr(c, "number-columns-repeated", "1")), 50 if value else 1)
-                    rows.append(row)
+                            row.append((made, int(attr(c, "number-columns-repeated", "1")), bool(value)))
+                    while len(row) > 1 and not row[-1][2] and row[-1][1] > 1:
+                        row.pop()
+                    own = [made for made, n, full in row for _ in range(n)]
+                    rows += [own] * (int(attr(r, "number-rows-repeated", "1")) if any(full for _, _, full in row) else 1)
                 if rows := [r for r in rows if r]:
                     yield {"page": 1, "type": "table", "rows": rows}
             elif kind in ("section", "text"):
@@ -332,27 +336,37 @@ def core_metadata(content: bytes) -> dict:
     return {"title": get("title"), "author": get("creator"), "subject": get("subject"), "keywords": get("keywords")}
 
 
+def mismatched(content: bytes) -> Iterable[dict]:
+    raise ValueError("the content is of another format than the extension says")
+
+
 READERS: dict[str, Callable[[bytes], Iterable[dict]]] = {
+    "mismatch": mismatched,
     "docx": docx, "odt": odt, "xlsx": xlsx, "pptx": pptx, "epub": epub, "html": lambda c: html.elements_of(c.decode("utf-8", "replace")),
 }
 
 
 def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for b in batches:
-        rows = []
         for doc, form, content in zip(b["doc_id"], b["format"], b["content"], strict=True):
+            if len(rows) >= 20_000:
+                yield pd.DataFrame(rows, columns=["doc_id", *FIELDS])
+                rows = []
             try:
                 found = [{"page": 1} | e for e in READERS[form](bytes(content))]
             except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as why:
                 found = [{"page": 1, "type": "warning", "text": f"{form}: {why}"}]
             rows += [(doc, *(({"pos": pos} | e).get(f) for f in FIELDS)) for pos, e in enumerate(found)]
+    if rows:
         yield pd.DataFrame(rows, columns=["doc_id", *FIELDS])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path: doc_id (hash of the path), path, format and content."""
+    """Files under a path: doc_id (hash of the path), path, format and content. The format is ``mismatch`` where name and content disagree."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", by_name(F.col("path")).alias("format"), "content")
+    known = F.when(checked(F.col("path"), F.col("content")), by_name(F.col("path"))).otherwise("mismatch")
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", known.alias("format"), "content")
 
 
 def file_elements(files: DataFrame) -> DataFrame:

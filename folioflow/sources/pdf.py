@@ -1,7 +1,7 @@
 """PDF files as positioned text fragments, in plain Python inside Arrow batches.
 
-Objects are found by scanning the file for their heads, object streams are expanded, and the latest definition of a number counts; so
-damaged cross-references don't matter. Encrypted files give no fragments but a warning.
+Objects are found by the cross-reference sections, tables and streams, newest first. If these are missing or wrong, the file is searched for
+the heads of objects, and the latest of a number counts. Files of the standard security open with the empty password; others give no fragments but a warning.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.schemas import FRAGMENTS
+from folioflow.sources.crypt import Security
 
 WHITE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
@@ -148,6 +149,21 @@ def run_lengths(data: bytes) -> bytes:
     return bytes(out)
 
 
+def inflated(data: bytes) -> bytes:
+    """Decompressed data; of damaged data, what comes before the damage."""
+    z, out = zlib.decompressobj(), bytearray()
+    try:
+        return z.decompress(data)
+    except zlib.error:
+        z = zlib.decompressobj()
+        for at in range(0, len(data), 64):
+            try:
+                out += z.decompress(data[at : at + 64])
+            except zlib.error:
+                break
+        return bytes(out)
+
+
 def decoded(stream: Stream, get) -> bytes:
     filters, parms = get(stream.get("Filter")) or [], get(stream.get("DecodeParms")) or {}
     filters, parms = (filters if isinstance(filters, list) else [filters]), (parms if isinstance(parms, list) else [parms])
@@ -155,12 +171,7 @@ def decoded(stream: Stream, get) -> bytes:
     for i, f in enumerate(filters):
         f, p = get(f), get(parms[i]) if i < len(parms) else {}
         if f in ("FlateDecode", "Fl"):
-            z = zlib.decompressobj()
-            try:
-                data = z.decompress(data)
-            except zlib.error:
-                data = b""
-            data = unpredicted(data, p or {})
+            data = unpredicted(inflated(data), p or {})
         elif f in ("ASCIIHexDecode", "AHx"):
             digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
             data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -253,20 +264,128 @@ def times(m: tuple, n: tuple) -> tuple:
     return (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o)
 
 
+ENTRY = re.compile(rb"\s*(\d{1,10}) (\d{1,5}) ([nf])")
+SUBSECTION = re.compile(rb"\s*(\d+)\s+(\d+)\s*?[\r\n ]")
+
+
 class Pdf:
+    """A file's objects, found by its cross-reference sections, or by looking for them if these are missing or wrong."""
+
     def __init__(self, content: bytes):
-        self.objects: dict[int, object] = {}
-        self.trailer: dict = {}
-        for m in OBJECT.finditer(content):
-            self.objects[int(m[1])] = self.object_at(content, m.end())
-        for m in re.finditer(rb"trailer\s*(?=<<)", content):
-            t = Lexer(content, m.end()).value()
+        self.content, self.objects, self.trailer = content, {}, {}
+        self.numbers: dict[int, tuple[int, int]] = {}  # streams, by their identity: number and generation, for their keys
+        self.security: Security | None = None
+        self.packed: dict[int, tuple[int, int]] = {}  # objects in object streams: the stream's number, the place in it
+        try:
+            self.by_sections()
+            self.unlock()
+            for number, (stream, place) in sorted(self.packed.items()):
+                self.from_stream(number, stream, place)
+            good = isinstance(self.get(self.trailer.get("Root")), dict)
+        except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error, RecursionError):
+            good = False
+        if not good:
+            self.objects, self.trailer, self.numbers, self.packed, self.security = {}, {}, {}, {}, None
+            self.by_search()
+            self.unlock()
+            for o in [o for o in self.objects.values() if isinstance(o, Stream) and o.get("Type") == "ObjStm"]:
+                self.expand(o)
+
+    def by_search(self) -> None:
+        """All objects that stand in the file, the last of each number."""
+        for m in OBJECT.finditer(self.content):
+            self.put(int(m[1]), int(m[0].split()[1]), m.end())
+        for m in re.finditer(rb"trailer\s*(?=<<)", self.content):
+            t = Lexer(self.content, m.end()).value()
             self.trailer |= t if isinstance(t, dict) else {}
-        for o in list(self.objects.values()):
+        for o in self.objects.values():
             if isinstance(o, Stream) and o.get("Type") == "XRef":
-                self.trailer = {k: v for k, v in o.items() if k in ("Root", "Info", "Encrypt")} | self.trailer
-            if isinstance(o, Stream) and o.get("Type") == "ObjStm":
-                self.expand(o)
+                self.trailer = {k: v for k, v in o.items() if k in ("Root", "Info", "Encrypt", "ID")} | self.trailer
+
+    def put(self, number: int, generation: int, at: int) -> None:
+        self.objects[number] = o = self.object_at(self.content, at)
+        if isinstance(o, Stream):
+            self.numbers[id(o)] = (number, generation)
+
+    def by_sections(self) -> None:
+        """The objects that the newest section and those before it name; what a newer one frees or moves doesn't come back."""
+        entries: dict[int, tuple] = {}
+        at, seen = [self.start()], set()
+        while at:
+            here = at.pop(0)
+            if here in seen:
+                continue
+            seen.add(here)
+            found, trailer = self.section(here)
+            entries = found | entries
+            self.trailer = trailer | self.trailer
+            at += [x for x in (trailer.get("XRefStm"), trailer.get("Prev")) if isinstance(x, int)]
+        self.packed = {n: e[1:] for n, e in entries.items() if e[0] == 2}
+        for number, e in entries.items():
+            if e[0] == 1:
+                m = OBJECT.match(self.content, GAP.match(self.content, e[1]).end())
+                if not m or int(m[1]) != number:
+                    raise ValueError(f"no object {number} at {e[1]}")
+                self.put(number, e[2], m.end())
+
+    def start(self) -> int:
+        at = self.content.rfind(b"startxref")
+        value = Lexer(self.content, at + 9).value() if at >= 0 else None
+        if not isinstance(value, int):
+            raise ValueError("no cross-reference section")
+        return value
+
+    def section(self, at: int) -> tuple[dict[int, tuple], dict]:
+        """Entries by object number, and the trailer: (0,) is free, (1, offset, generation) stands in the file, (2, stream, place) in an object stream."""
+        at = GAP.match(self.content, at).end()
+        if self.content[at : at + 4] == b"xref":
+            at, entries = at + 4, {}
+            while m := SUBSECTION.match(self.content, at):
+                first, n, at = int(m[1]), int(m[2]), m.end()
+                for number in range(first, first + n):
+                    e = ENTRY.match(self.content, at)
+                    if not e:
+                        raise ValueError("a broken cross-reference table")
+                    entries[number], at = (1, int(e[1]), int(e[2])) if e[3] == b"n" and int(e[1]) else (0,), e.end()
+            m = re.compile(rb"\s*trailer").match(self.content, at)
+            trailer = Lexer(self.content, m.end()).value() if m else None
+            if not isinstance(trailer, dict):
+                raise ValueError("no trailer")
+            return entries, trailer
+        m = OBJECT.match(self.content, at)
+        stream = self.object_at(self.content, m.end()) if m else None
+        if not isinstance(stream, Stream) or stream.get("Type") != "XRef":
+            raise ValueError("no cross-reference stream")
+        data, widths, entries = decoded(stream, self.get), [int(w) for w in stream["W"]], {}
+        index, i = stream.get("Index") or [0, stream["Size"]], 0
+        for first, n in zip(index[::2], index[1::2], strict=True):
+            for number in range(first, first + n):
+                fields = []
+                for w in widths:
+                    fields.append(int.from_bytes(data[i : i + w], "big") if w else None)
+                    i += w
+                kind = 1 if fields[0] is None else fields[0]
+                entries[number] = (kind, fields[1] or 0, fields[2] or 0) if kind in (1, 2) else (0,)
+        return entries, {k: v for k, v in stream.items() if k in ("Root", "Info", "Encrypt", "ID", "Prev", "Size")}
+
+    def from_stream(self, number: int, stream: int, place: int) -> None:
+        """An object out of an object stream, by its place there; its number has to agree."""
+        kept = self.__dict__.setdefault("opened", {})
+        if stream not in kept:
+            o = self.objects.get(stream)
+            data = self.data(o) if isinstance(o, Stream) else b""
+            lex = Lexer(data)
+            head = [lex.value() for _ in range(2 * int(self.get(o.get("N")) or 0))] if data else []
+            kept[stream] = (data, head, int(self.get(o.get("First")) or 0) if data else 0)
+        data, head, first = kept[stream]
+        if 2 * place + 1 < len(head) and head[2 * place] == number and isinstance(head[2 * place + 1], int):
+            self.objects[number] = Lexer(data, first + head[2 * place + 1]).value()
+
+    def unlock(self) -> None:
+        how = self.get(self.trailer.get("Encrypt"))
+        if "Encrypt" in self.trailer:
+            ids = self.get(self.trailer.get("ID")) or [b""]
+            self.security = Security(how if isinstance(how, dict) else {}, self.get(ids[0]) or b"", self.get)
 
     @staticmethod
     def object_at(content: bytes, at: int) -> object:
@@ -298,6 +417,10 @@ class Pdf:
         return value
 
     def data(self, stream: Stream) -> bytes:
+        if self.security and id(stream) in self.numbers and stream.get("Type") != "XRef":
+            own = Stream(stream)
+            own.raw = self.security.decrypted(stream.raw, *self.numbers[id(stream)])
+            stream = own
         return decoded(stream, self.get)
 
     def pages(self) -> Iterator[dict]:
@@ -392,7 +515,7 @@ class Pdf:
                         show(a)
                     elif isinstance(a, (int, float)):
                         tm = times((1, 0, 0, 1, -a / 1000 * state["size"] * state["scale"], 0), tm)
-            elif v == "Do" and args and depth < 8:
+            elif v == "Do" and args and depth < 10:
                 form = self.get(forms.get(args[-1]))
                 if isinstance(form, Stream) and form.get("Subtype") == "Form":
                     matrix = tuple(self.get(form.get("Matrix")) or (1, 0, 0, 1, 0, 0))
@@ -405,8 +528,6 @@ class Pdf:
 
 def fragments_of(content: bytes) -> Iterator[dict]:
     pdf = Pdf(content)
-    if "Encrypt" in pdf.trailer:
-        raise ValueError("the file is encrypted")
     for number, page in enumerate(pdf.pages(), 1):
         for seq, f in enumerate(pdf.fragments(page)):
             yield {"page": number, "seq": seq} | f
@@ -416,13 +537,17 @@ NAMES = [f.strip().split(" ")[0] for f in FRAGMENTS.split(",")]
 
 
 def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for b in batches:
-        rows = []
         for doc, content in zip(b["doc_id"], b["content"], strict=True):
+            if len(rows) >= 50_000:
+                yield pd.DataFrame(rows, columns=NAMES)
+                rows = []
             try:
                 rows += [(doc, *(f[n] for n in NAMES[1:])) for f in fragments_of(bytes(content))]
             except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error) as why:
                 rows.append((doc, 0, 0, f"warning: {why}", 0.0, 0.0, 0.0, 0.0, "", 0.0))
+    if rows:
         yield pd.DataFrame(rows, columns=NAMES)
 
 

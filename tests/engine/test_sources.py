@@ -87,12 +87,13 @@ def test_office_files():
 
 
 def test_files_by_name_and_content(spark, tmp_path):
-    for name, data in {"a.docx": DOCX, "b.XLSX": XLSX, "c.pptx": PPTX, "d.odt": ODT, "e.epub": EPUB, "f.htm": b"<!DOCTYPE html><body><p>hi</p>", "g.docx": b"no zip", "h.txt": b"x"}.items():
+    for name, data in {"a.docx": DOCX, "b.XLSX": XLSX, "c.pptx": PPTX, "d.odt": ODT, "e.epub": EPUB, "f.htm": b"<!DOCTYPE html><body><p>hi</p>", "g.docx": b"no zip", "h.txt": b"x", "i.pdf": DOCX}.items():
         (tmp_path / name).write_bytes(data)
     files = office.read_files(spark, str(tmp_path)).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("found", detect.by_content(F.col("content")))
     got = {r["name"]: (r["format"], r["found"]) for r in files.select("name", "format", "found").collect()}
     assert got["b.XLSX"] == ("xlsx", "xlsx") and got["f.htm"] == ("html", "html") and got["h.txt"] == ("unknown", "unknown") and got["e.epub"] == ("epub", "epub")
     kinds = {r["name"]: r["n"] for r in office.file_elements(files).join(files.select("doc_id", "name"), "doc_id").groupBy("name").agg(F.collect_list("type").alias("n")).collect()}
+    assert got["i.pdf"] == ("mismatch", "docx") and kinds["i.pdf"] == ["warning"]
     assert kinds["g.docx"] == ["warning"] and len(kinds["a.docx"]) == 4 and "h.txt" not in kinds
     assert office.select_pages(office.file_elements(files), [2, 2]).count() == 2
     with pytest.raises(ValueError):
@@ -107,3 +108,13 @@ def test_stream_of_documents(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
     events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
     assert streaming.event_counts(events).isStreaming
+
+
+def test_repeated_cells_and_rows_of_odt():
+    cell = lambda t, n=1: f'<b:table-cell b:number-columns-repeated="{n}">' + (f"<t:p>{t}</t:p>" if t else "") + "</b:table-cell>"
+    rows = f"<b:table-row>{cell('a', 60)}{cell('', 3)}{cell('b')}{cell('', 16000)}</b:table-row>"
+    rows += f'<b:table-row b:number-rows-repeated="2">{cell("c")}</b:table-row><b:table-row b:number-rows-repeated="9999">{cell("", 16000)}</b:table-row>'
+    made = archive({"content.xml": f'<d xmlns:o="o" xmlns:t="t" xmlns:b="b"><o:body><o:text><b:table>{rows}</b:table></o:text></o:body></d>'})
+    table = next(e for e in office.odt(made) if e["type"] == "table")["rows"]
+    assert [c["text"] for c in table[0]] == ["a"] * 60 + [""] * 3 + ["b"]
+    assert [[c["text"] for c in r] for r in table[1:3]] == [["c"], ["c"]]
