@@ -674,16 +674,7 @@ def _(read):
     return _nations(read).select("r_name", TB.summary(F.col("rows")).alias("summary"))
 
 
-@query("table_split", """WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part WHERE p_partkey <= 400) SELECT (i // 50)::INT AS part, count(*) + 1 AS n, min(p_partkey)::VARCHAR AS first FROM p GROUP BY 1""")
-def _(read):
-    own = read("part").where("p_partkey <= 400")
-    body = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.array(k.cast("string")))
-    own = own.agg(F.concat(F.array(F.array(F.lit("key"))), body).alias("rows"))
-    own = own.select(F.posexplode(TB.split(F.col("rows"))).alias("part", "rows"))
-    return own.select("part", F.size("rows").cast("long").alias("n"), TB.cell(F.col("rows"), 1, 0).alias("first"))
-
-
-@query("table_split_thousands", """WITH p AS (SELECT p_partkey // 1000 AS t, p_partkey, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) - 1 AS i FROM part)
+@query("table_split", """WITH p AS (SELECT p_partkey // 1000 AS t, p_partkey, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) - 1 AS i FROM part)
  SELECT t::BIGINT AS "table", (i // 50)::INT AS part, count(*) + 1 AS n, min(p_partkey)::VARCHAR AS first FROM p GROUP BY 1, 2""")
 def _(read):
     # A table for each thousand of keys: all parts, and no array of more than a thousand rows.

@@ -9,8 +9,9 @@ from folioflow.functions import geometry as G
 from folioflow.functions import tables as TB
 from folioflow.functions import text as X
 from folioflow.config import LayoutConfig
-from folioflow.operators import collection, elements, layout, overlap, page_lists
+from folioflow.operators import collection, elements, grids, layout, overlap, page_lists
 from folioflow.operators import sections as SC
+from folioflow.plans import documents as DC
 from folioflow.plans import export
 from folioflow.plans.catalog import CHUNKS, FRAGS, LINES, NUMBERED_LINES, ORACLE_SQL, QUERIES, WORDS, _fragments, query, text
 
@@ -284,6 +285,35 @@ def _(read):
     return layout.column_text(_fragments(read), LayoutConfig(column_gap=1000.0)).select("doc_id", "page", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("n"))
 
 
+MODE_ROWS = f"{NUMBERED_LINES}, t AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x, seq) AS t, min(y) AS y FROM h GROUP BY ALL), v AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY line) - y AS gap FROM t)"
+
+
+@query("document_texts", f"WITH {MODE_ROWS}, p AS (SELECT *, avg(gap) OVER (PARTITION BY doc_id, page) AS mean FROM v), q AS (SELECT doc_id, page, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 1.5 * mean THEN chr(10) || chr(10) ELSE chr(10) END || t, '' ORDER BY line) AS t FROM p WHERE page BETWEEN 2 AND 4 GROUP BY ALL) SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS text FROM q GROUP BY doc_id")
+def _(read):
+    return DC.document_texts(_fragments(read), DC.Options().page_range(2, 4))
+
+
+@query("missing_pages", f"WITH {FRAGS}, n AS (SELECT doc_id, max(page) AS n FROM f GROUP BY 1) SELECT doc_id, p::INT AS page FROM n, (VALUES (3), (6), (9)) t(p) WHERE p > n")
+def _(read):
+    return DC.missing_pages(_fragments(read), DC.Options().page(3, 6, 9, 6))
+
+
+GRID = """g AS (SELECT p_partkey // 12 AS doc_id, p_partkey % 12 AS k, trim(p_name) AS text, count(*) OVER (PARTITION BY p_partkey // 12) AS n FROM part)"""
+
+
+@query("page_tables", f"WITH {GRID} SELECT doc_id, (2 * (k // 3))::INT AS row, (2 * (k % 3))::INT AS col, text FROM g WHERE n = 12")
+def _(read):
+    # Twelve parts are a page with a table of four rows and three columns; the gaps between them are rows and columns, too.
+    k = F.col("p_partkey") % 12
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.floor(F.col("p_partkey") / 12)))
+    own = read("part").select(
+        F.floor(F.col("p_partkey") / 12).alias("doc_id"), F.lit(1).cast("long").alias("page"), F.col("p_partkey").alias("seq"), F.trim("p_name").alias("text"),
+        (72.0 + 100 * (k % 3)).alias("x"), (700.0 - 20 * F.floor(k / 3)).alias("y"), F.lit(80.0).alias("width"), F.lit(10.0).alias("height"), n.alias("n"),
+    ).where("n = 12")
+    rules = read("part").limit(0).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("page"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return grids.detect_tables(own.drop("n"), rules).select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.row", "c.col", "c.text")
+
+
 # ---- Boundaries and atomic blocks
 
 CUTS = """cuts AS (SELECT p_partkey // 100 AS doc_id, sum(p_size) OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey)::BIGINT AS position, (p_partkey * 7 % 5)::BIGINT AS score FROM part)"""

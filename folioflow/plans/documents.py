@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,23 +17,87 @@ from folioflow.sources.office import file_elements, read_files
 from folioflow.sources.pdf import pdf_fragments
 
 
+#: How the text of a PDF page is put together: line by line, by paragraphs, by columns, or as it looks.
+MODES = ("lines", "paragraphs", "columns", "layout")
+
+
 @dataclass(frozen=True)
 class Options:
-    """What is read: pages (all if empty), and whether repeated headers and footers of PDF pages stay."""
+    """What is read: pages (all if empty), and whether repeated headers and footers of PDF pages stay. Every method gives new options."""
 
     pages: tuple[int, ...] = ()
     headers: bool = True
     footers: bool = True
     layout: LayoutConfig = field(default_factory=LayoutConfig)
+    mode: str = "lines"
 
+    def page(self, *numbers: int) -> Options:
+        """With more pages; they count from 1."""
+        if any(n < 1 for n in numbers):
+            raise ValueError(f"pages count from 1: {numbers}")
+        return replace(self, pages=(*self.pages, *numbers))
 
-def fragment_elements(fragments: DataFrame, options: Options = Options()) -> DataFrame:
-    """Elements of positioned text: headings and paragraphs in reading order, without what the options leave out."""
+    def page_range(self, first: int, last: int) -> Options:
+        return self.page(*range(first, last + 1))
+
+    def without_headers(self) -> Options:
+        return replace(self, headers=False)
+
+    def without_footers(self) -> Options:
+        return replace(self, footers=False)
+
+    def join_paragraphs(self) -> Options:
+        return replace(self, mode="paragraphs")
+
+    def by_column(self) -> Options:
+        return replace(self, mode="columns")
+
+    def preserve_layout(self) -> Options:
+        return replace(self, mode="layout")
+
+
+def chosen(fragments: DataFrame, options: Options = Options()) -> DataFrame:
+    """Fragments without repeats, and without the pages, headers and footers that the options leave out. Headers are found on all pages."""
     own = layout.dedupe(fragments.where("page > 0"))
     if not (options.headers and options.footers):
         found = layout.header_footer(own, options.layout)
         drop = [r for r, stay in (("header", options.headers), ("footer", options.footers)) if not stay]
         own = layout.without_regions(own, found.where(F.col("region").isin(*drop)), options.layout)
+    return own.where(F.col("page").isin(*sorted(set(options.pages)))) if options.pages else own
+
+
+def missing_pages(fragments: DataFrame, options: Options) -> DataFrame:
+    """doc_id and page of the pages asked for that a document doesn't have."""
+    asked = F.explode(F.array(*[F.lit(p) for p in sorted(set(options.pages))]))
+    have = fragments.groupBy("doc_id").agg(F.max("page").alias("_n"))
+    return have.select("doc_id", "_n", asked.alias("page")).where(F.col("page") > F.col("_n")).drop("_n")
+
+
+def page_texts(fragments: DataFrame, options: Options = Options(), page_width: float = 612.0) -> DataFrame:
+    """doc_id, page and text of positioned text, put together by the options' mode."""
+    own, config = chosen(fragments, options), options.layout
+    if options.mode == "layout":
+        return layout.spaced_text(own, page_width)
+    if options.mode == "columns":
+        return layout.column_text(own, config)
+    rows = layout.lines(own, config)
+    if options.mode == "paragraphs":
+        return layout.joined_text(layout.paragraphs(rows, config))
+    if options.mode != "lines":
+        raise ValueError(f"{options.mode} is none of {MODES}")
+    return layout.page_text(rows, config)
+
+
+def document_texts(fragments: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id and text: the texts of its pages, an empty line between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    texts = F.filter(F.transform(ordered, lambda x: x["text"]), lambda t: t != "")
+    return page_texts(fragments, options).groupBy("doc_id").agg(F.array_join(texts, "\n\n").alias("text"))
+
+
+def fragment_elements(fragments: DataFrame, options: Options = Options()) -> DataFrame:
+    """Elements of positioned text: headings and paragraphs in reading order, without what the options leave out."""
+    own = chosen(fragments, options)
     # The columns of a page are read one after the other: each is a page of its own to the line finder.
     own = layout.columns(own, options.layout).withColumn("page", F.col("page") * 100 + F.col("column")).drop("column")
     paragraphs = layout.paragraphs(layout.lines(own, options.layout), options.layout)
