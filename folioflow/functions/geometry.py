@@ -145,3 +145,9 @@ def coverage(width: Column, height: Column, page_width: Column, page_height: Col
     """Share of the page that a box covers, from 0 to 1."""
     page = page_width * page_height
     return F.when(page > 0, F.least(F.lit(1.0), F.abs(width * height) / page)).otherwise(0.0)
+
+
+def variation_of(values: Column) -> Column:
+    """Standard deviation of an array's numbers over their mean; 0 for under two of them or a mean of 0."""
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+    return F.when((F.size(values) < 2) | (mean == 0), 0.0).otherwise(F.sqrt(variance(values)) / mean)

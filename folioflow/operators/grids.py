@@ -133,3 +133,77 @@ def rule_groups(rules: DataFrame, tolerance: float = 3.0) -> DataFrame:
     own = rules.withColumn("direction", F.when(dy <= tolerance, "h").when(dx <= tolerance, "v").otherwise("d"))
     own = own.withColumn("v", F.when(F.col("direction") == "h", (F.col("y1") + F.col("y2")) / 2).otherwise((F.col("x1") + F.col("x2")) / 2))
     return aligned(own.where("direction <> 'd'"), [*PAGE, "direction"], "v", tolerance)
+
+
+def drawn_groups(rules: DataFrame, tolerance: float = 3.0, least_length: float = 10.0) -> DataFrame:
+    """Drawn lines at about one place together: doc_id, page, direction, at (their mean place), low and high (how far they reach), length and n.
+
+    Lines shorter than ``least_length`` or aslant are left out. A line joins the group before while it is within the tolerance of its mean.
+    """
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    level = F.when(dy <= tolerance, "h").when(dx <= tolerance, "v")
+    own = rules.withColumn("direction", level).withColumn("length", F.sqrt(dx * dx + dy * dy)).where(F.col("direction").isNotNull() & (F.col("length") >= least_length))
+    flat = F.col("direction") == "h"
+    own = own.withColumn("v", F.when(flat, (F.col("y1") + F.col("y2")) / 2).otherwise((F.col("x1") + F.col("x2")) / 2))
+    a, b = F.when(flat, F.col("x1")).otherwise(F.col("y1")), F.when(flat, F.col("x2")).otherwise(F.col("y2"))
+    own = own.groupBy(*PAGE, "direction").agg(F.array_sort(F.collect_list(F.struct("v", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), "length"))).alias("l"))
+    state = lambda mean, n, group, out: F.struct(mean.alias("mean"), n.alias("n"), group.alias("group"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc["n"] > 0) & (x["v"] - acc["mean"] > tolerance)
+        n = F.when(new, 1).otherwise(acc["n"] + 1)
+        mean = F.when(new | (acc["n"] == 0), x["v"]).otherwise(acc["mean"] + (x["v"] - acc["mean"]) / (acc["n"] + 1))
+        group = acc["group"] + new.cast("int")
+        return state(mean, n, group, F.array_append(acc["out"], group))
+
+    found = F.aggregate("l", state(F.lit(0.0), F.lit(0), F.lit(0), F.expr("cast(array() as array<int>)")), step, lambda acc: acc["out"])
+    own = own.withColumn("g", found).select(*PAGE, "direction", F.explode(F.transform("l", lambda x, i: F.struct(F.get(F.col("g"), i).alias("g"), x.alias("x")))).alias("r"))
+    return own.groupBy(*PAGE, "direction", "r.g").agg(
+        F.avg("r.x.v").alias("at"), F.min("r.x.low").alias("low"), F.max("r.x.high").alias("high"), F.sum("r.x.length").alias("length"), F.count(F.lit(1)).alias("n")
+    ).drop("g")
+
+
+def drawn_grids(rules: DataFrame, tolerance: float = 3.0, least_length: float = 10.0, least_lines: int = 2) -> DataFrame:
+    """The grid that a page's drawn lines make, if they do: box, rows, cols, the places of its lines (rows from the top), borders and confidence.
+
+    The box goes from the first to the last place in both directions; lines that reach over less than half of it are left out.
+    """
+    groups = drawn_groups(rules, tolerance, least_length)
+    side = lambda d, what: F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("at", "low", "high"))))
+    page = groups.groupBy(*PAGE).agg(side("h", "y").alias("h"), side("v", "x").alias("v"))
+    page = page.where((F.size("h") >= least_lines) & (F.size("v") >= least_lines))
+    ends = lambda c: (F.get(c, F.lit(0))["at"], F.element_at(c, -1)["at"])
+    (bottom, top), (left, right) = ends("h"), ends("v")
+    page = page.select(*PAGE, "h", "v", left.alias("left"), right.alias("right"), bottom.alias("bottom"), top.alias("top")).where("right > left and top > bottom")
+
+    def long(c: str, a: Column, b: Column) -> Column:
+        over = lambda x: (x["high"] - x["low"] >= 0.5 * (b - a)) & (F.least(x["high"], b) > F.greatest(x["low"], a))
+        return F.transform(F.filter(c, over), lambda x: x["at"])
+
+    page = page.withColumn("ys", F.reverse(long("h", F.col("left"), F.col("right")))).withColumn("xs", long("v", F.col("bottom"), F.col("top")))
+    page = page.where((F.size("ys") >= least_lines) & (F.size("xs") >= least_lines))
+    gaps = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.abs(F.get(c, i) - F.get(c, i - 1)))
+    even = lambda c: F.when(F.size(c) > 2, F.greatest(F.lit(0.0), 1 - G.variation_of(gaps(c)))).otherwise(1.0)
+    near = lambda a, b: (F.abs(a - b) < tolerance).cast("int")
+    first, last = (lambda c: F.get(c, F.lit(0))), (lambda c: F.element_at(c, -1))
+    borders = near(first("ys"), F.col("top")) + near(last("ys"), F.col("bottom")) + near(first("xs"), F.col("left")) + near(last("xs"), F.col("right"))
+    rows, cols = F.size("ys") - 1, F.size("xs") - 1
+    points = F.when(rows * cols >= 9, 0.3).when(rows * cols >= 4, 0.2).otherwise(0.0) + 0.15 * (even("ys") + even("xs")) + 0.05 * borders + 0.2
+    return page.select(
+        *PAGE, G.box(F.col("left"), F.col("bottom"), F.col("right") - F.col("left"), F.col("top") - F.col("bottom")).alias("box"), rows.alias("rows"), cols.alias("cols"),
+        "ys", "xs", borders.alias("borders"), F.least(points, F.lit(1.0)).alias("confidence"),
+    )
+
+
+def rule_statistics(rules: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Horizontal, vertical and slanted lines of each page, and their whole length."""
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    return rules.groupBy(*PAGE).agg(
+        F.count_if(dy <= tolerance).alias("horizontal"), F.count_if((dy > tolerance) & (dx <= tolerance)).alias("vertical"),
+        F.count_if((dy > tolerance) & (dx > tolerance)).alias("slanted"), F.sum(F.sqrt(dx * dx + dy * dy)).alias("length"),
+    )
+
+
+def boxes_between(boxes: DataFrame, least_width: float = 0.0, least_height: float = 0.0) -> DataFrame:
+    """Rectangles that are wide and high enough."""
+    return boxes.where((F.col("box.width") >= least_width) & (F.col("box.height") >= least_height))

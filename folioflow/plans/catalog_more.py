@@ -314,6 +314,36 @@ def _(read):
     return grids.detect_tables(own.drop("n"), rules).select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.row", "c.col", "c.text")
 
 
+RULES = """ru AS (SELECT p_partkey // 20 AS doc_id, 1 AS page, p_partkey % 20 AS k, p_partkey // 20 % 4 + 1 AS rows, p_partkey // 20 % 3 + 1 AS cols, p_size FROM part),
+ rl AS (SELECT doc_id, page, rows, cols, p_size, k, CASE WHEN k <= rows THEN 'h' WHEN k >= 10 AND k - 10 <= cols THEN 'v' WHEN k = 19 THEN 's' END AS d FROM ru)"""
+
+
+def _rules(read) -> DataFrame:
+    # Of twenty parts a page, some are horizontal and some vertical lines of a grid, one is aslant, the others are short.
+    doc, k = F.floor(F.col("p_partkey") / 20), F.col("p_partkey") % 20
+    rows, cols = doc % 4 + 1, doc % 3 + 1
+    flat, tall = k <= rows, (k >= 10) & (k - 10 <= cols)
+    coordinate = lambda h, v, s, e: F.when(flat, h).when(tall, v).when(k == 19, s).otherwise(e).cast("double")
+    return read("part").select(
+        doc.alias("doc_id"), F.lit(1).cast("long").alias("page"), coordinate(F.lit(50), 50 + 60 * (k - 10), F.lit(0), F.lit(5)).alias("x1"), coordinate(100 + 30 * k, F.lit(100), F.lit(0), F.lit(5)).alias("y1"),
+        coordinate(50 + 60 * cols, 50 + 60 * (k - 10), F.lit(200), F.lit(9)).alias("x2"), coordinate(100 + 30 * k, 100 + 30 * rows, F.lit(200), F.lit(5)).alias("y2"),
+    )
+
+
+@query("drawn_grids", f"""WITH {RULES}, c AS (SELECT doc_id, rows, cols, count(*) FILTER (d = 'h') AS nh, count(*) FILTER (d = 'v') AS nv FROM rl GROUP BY ALL)
+ SELECT doc_id, 1 AS page, rows::INT AS rows, cols::INT AS cols, 50.0::DOUBLE AS x, (60 * cols)::DOUBLE AS width, (30 * rows)::DOUBLE AS height, round(CASE WHEN rows * cols >= 9 THEN 0.3 WHEN rows * cols >= 4 THEN 0.2 ELSE 0 END + 0.3 + 0.2 + 0.2, 6)::DOUBLE AS confidence FROM c WHERE nh = rows + 1 AND nv = cols + 1""")
+def _(read):
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    own = grids.drawn_grids(_rules(read))
+    whole = _rules(read).withColumn("n", n).where("n >= 14").select("doc_id").distinct()
+    return own.join(whole, "doc_id", "left_semi").select("doc_id", "page", "rows", "cols", F.col("box.x").alias("x"), F.col("box.width").alias("width"), F.col("box.height").alias("height"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("rule_statistics", f"WITH {RULES} SELECT doc_id, page, count(*) FILTER (d = 'h' OR d IS NULL) AS horizontal, count(*) FILTER (d = 'v') AS vertical, count(*) FILTER (d = 's') AS slanted, round(sum(CASE d WHEN 'h' THEN 60.0 * cols WHEN 'v' THEN 30.0 * rows WHEN 's' THEN sqrt(80000.0) ELSE 4.0 END), 6) AS length FROM rl GROUP BY doc_id, page")
+def _(read):
+    return grids.rule_statistics(_rules(read)).withColumn("length", F.round("length", 6))
+
+
 # ---- Boundaries and atomic blocks
 
 CUTS = """cuts AS (SELECT p_partkey // 100 AS doc_id, sum(p_size) OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey)::BIGINT AS position, (p_partkey * 7 % 5)::BIGINT AS score FROM part)"""
