@@ -59,3 +59,15 @@ def table_of_contents(elements: DataFrame) -> DataFrame:
     line = lambda x: F.concat(F.repeat(F.lit("  "), x["level"] - 1), F.lit("- "), x["text"])
     ordered = F.array_sort(F.collect_list(F.struct("page", "pos", "level", "text")))
     return headings(elements).groupBy("doc_id").agg(F.array_join(F.transform(ordered, line), "\n").alias("toc"))
+
+
+def of_type(elements: DataFrame, kind: str) -> DataFrame:
+    """All headings, paragraphs, lists or tables, in the order of their documents."""
+    return elements.where(F.col("type") == kind)
+
+
+def page_texts(elements: DataFrame) -> DataFrame:
+    """doc_id, page and the text of its elements, a line break between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    texts = F.filter(F.transform(ordered, lambda x: x["text"]), lambda t: t.isNotNull() & (t != ""))
+    return elements.groupBy("doc_id", "page").agg(F.array_join(texts, "\n").alias("text"))

@@ -130,6 +130,33 @@ def captions(rows: DataFrame, key: str, order: str, is_target: Column, kind: str
     return own.withColumn("caption", caption).drop("_a", "_b")
 
 
+def end_near(data: bytes, target: int) -> int:
+    """The sentence end nearest before the byte offset, within 100 bytes; else the next one within 100; else a word boundary within 50; else the offset."""
+    n = len(data)
+    if target >= n:
+        return n
+    stop, gap = b".!?", b" \n"
+    for i in range(target, max(-1, target - 100), -1):
+        if data[i] in stop and i + 1 < n and data[i + 1] in gap:
+            return i + 1
+    for i in range(target, min(n, target + 100)):
+        if data[i] in stop and (i + 1 >= n or data[i + 1] in gap):
+            return i + 1
+    for far in range(50):
+        for i in (target - far, target + far):
+            if 0 <= i < n and data[i] in gap:
+                return i
+    return target
+
+
+def sentence_end_near(text: Column, target: int) -> Column:
+    @F.pandas_udf(T.LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: end_near(t.encode(), target))
+
+    return run(text)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _ends(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: [len(t[:i].encode()) for i in sentence_ends(t)])

@@ -13,7 +13,7 @@ from folioflow.operators import collection, elements, grids, layout, overlap, pa
 from folioflow.operators import sections as SC
 from folioflow.plans import documents as DC
 from folioflow.plans import export
-from folioflow.plans.catalog import CHUNKS, FRAGS, LINES, NUMBERED_LINES, ORACLE_SQL, QUERIES, WORDS, _fragments, query, text
+from folioflow.plans.catalog import CHUNKS, FRAGS, LINES, NUMBERED_LINES, ORACLE_SQL, QUERIES, TYPED, WORDS, _fragments, _typed, query, text
 
 # ---- Joins, sets, groups and windows
 
@@ -541,6 +541,43 @@ def _(read):
     return own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.sum(X.words(F.col("text"))).cast("long").alias("words"))
 
 
+for _kind in ("paragraph", "list", "table"):
+
+    @query(f"all_{_kind}s", f"WITH {TYPED} SELECT doc_id, pos::BIGINT AS pos, text FROM typed WHERE type = '{_kind}'")
+    def _(read, kind=_kind):
+        return elements.of_type(_typed(read), kind).select("doc_id", "pos", "text")
+
+
+@query("element_page_texts", f"WITH {LINES} SELECT doc_id, pos // 10 + 1 AS page, string_agg(text, chr(10) ORDER BY pos) AS text FROM lines GROUP BY ALL")
+def _(read):
+    own = elements.line_elements(read("documents")).withColumn("page", (F.floor(F.col("pos") / 10) + 1).cast("long"))
+    return elements.page_texts(own)
+
+
+@query("warnings_text", "SELECT p_partkey AS k, p_name || '; ' || p_type AS text FROM part")
+def _(read):
+    w = F.array(F.struct(F.lit("a").alias("code"), F.col("p_name").alias("message")), F.struct(F.lit("b").alias("code"), F.col("p_type").alias("message")))
+    return read("part").select(F.col("p_partkey").alias("k"), X.warnings_text(w).alias("text"))
+
+
+@query("headings_between", f"WITH {FRAGS}, r AS (SELECT doc_id, seq, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY round(font_size * 10) DESC), 6)::BIGINT AS level FROM f) SELECT * FROM r WHERE level BETWEEN 2 AND 3")
+def _(read):
+    return layout.headings_between(layout.ranked_levels(_fragments(read)), 2, 3).select("doc_id", "seq", "level")
+
+
+@query("boxes_between", "SELECT p_partkey AS k FROM part WHERE p_size >= 20 AND p_size % 20 + 1 >= 5")
+def _(read):
+    own = read("part").select(F.col("p_partkey").alias("k"), G.box(F.lit(0.0), F.lit(0.0), F.col("p_size"), F.col("p_size") % 20 + 1).alias("box"))
+    return grids.boxes_between(own, 20, 5).select("k")
+
+
+@query("exported_strings", f"WITH {CHUNKS} SELECT doc_id, count(*) AS lines, sum(strlen(text))::BIGINT AS bytes FROM chunks GROUP BY doc_id")
+def _(read):
+    own = export.as_string(collection.line_chunks(read("documents"))).withColumn("l", F.split("value", "\n"))
+    size = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(F.get_json_object(x, "$.text")))
+    return own.select("doc_id", F.size("l").cast("long").alias("lines"), size.alias("bytes"))
+
+
 # ---- Queries on lists, tables and images once more, over documents that have some: forty parts a document, a line a part
 
 PART_DOCS = """documents AS (SELECT p_partkey // 40 AS doc_id, 'en' AS lang, 'src' || (p_partkey // 40 % 3) AS source, string_agg(CASE WHEN p_partkey % 20 < 6 THEN '• ' || p_name WHEN p_partkey % 20 < 11

@@ -122,3 +122,12 @@ def test_section_chunks():
     assert "These are the items:\n\n- x" in out[1]["text"] and out[1]["has_list"]
     assert out[2]["text"] == "B\n\nTail." and out[2]["level"] == "section"
     assert SC.section_chunks([], SC.SectionConfig()) == []
+
+
+def test_sentence_end_near_an_offset():
+    from folioflow.operators.overlap import end_near
+
+    data = b"One two. Three four five! Six"
+    assert [end_near(data, k) for k in (0, 8, 10, 24, 26, 28, 29, 99)] == [8, 8, 8, 25, 25, 25, 29, 29]
+    words = b"x" * 130 + b" " + b"y" * 300
+    assert end_near(words, 125) == 130 and end_near(words, 132) == 130 and end_near(words, 300) == 300
