@@ -43,3 +43,9 @@ def test_every_reply_is_an_example_with_all_turns_before_it(spark):
 def test_empty_table_and_null_key(spark):
     assert rows(spark, []) == {}
     assert rows(spark, [(None, 0, "assistant", "a", "", 0)])[None]["loss_chars"] == 1
+
+
+def test_no_conversations_but_the_fixed_one(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op1_chat_prefix_targets(spark, str(tmp_path)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(-7, 2)]

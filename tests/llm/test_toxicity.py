@@ -46,6 +46,9 @@ def test_no_labels_one_value_and_empty_table(spark):
     one = toxicity.train_chain(docs, spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, a int"), ["a"])
     assert max(r["p_a"] for r in toxicity.score(docs, one).collect()) < 0.01
     assert toxicity.score(docs.limit(0), one).count() == 0
+    # Labels of documents that aren't there count for nothing.
+    away = toxicity.train_chain(docs, spark.createDataFrame([(1000 + i, i % 2) for i in range(50)], "doc_id long, a int"), ["a"])
+    assert {r["p_a"] for r in toxicity.score(docs, away).collect()} == {0.5}
 
 
 def test_solver_against_gradient():
