@@ -26,8 +26,12 @@ CHAPTER = re.compile(
 TITLE_BYTES, TITLE_WORDS = 90, 12
 
 
+#: Characters that Python takes for white space and we don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def count_words(text: str) -> int:
-    return sum(1 for w in SPACES.split(text) if w)
+    return sum(1 for w in SPACES.split(text) if w) if SEPARATORS.search(text) else len(text.split())
 
 
 def chapter_heading(text: str) -> tuple[str, str, int] | None:
@@ -240,15 +244,22 @@ def chunk_elements(elements: DataFrame, config: SizeConfig = SizeConfig(), detec
     return own.select("doc_id", "title", "elements").mapInPandas(_chunked(config, detect_headings), CHUNKS)
 
 
+def _chunked_texts(config: SizeConfig, detect_headings: bool):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunker = Chunker(config, detect_headings)
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                elements = [{"page": 1, "type": "paragraph", "text": line} for line in (text or "").split("\n") if line]
+                rows += [_finished(doc, "", c) for c in chunker.chunk(elements)]
+            yield pd.DataFrame(rows, columns=NAMES)
+
+    return run
+
+
 def chunk_documents(docs: DataFrame, config: SizeConfig = SizeConfig(), detect_headings: bool = True) -> DataFrame:
-    """Chunks of plain documents, whose lines are paragraphs of one page. Nothing is shuffled."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x) != "")
-    none = {"level": "int", "ordered": "boolean", "items": "array<string>", "rows": "array<string>", "alt_text": "string"}
-    element = lambda x, i: F.struct(
-        F.lit(1).alias("page"), i.alias("pos"), F.lit("paragraph").alias("type"), x.alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()]
-    )
-    own = docs.select(F.col("doc_id").cast("long"), F.lit("").alias("title"), F.transform(lines, element).alias("elements"))
-    return own.mapInPandas(_chunked(config, detect_headings), CHUNKS)
+    """Chunks of plain documents, whose lines are paragraphs of one page. Nothing is shuffled, and texts go to the workers as they are."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_chunked_texts(config, detect_headings), CHUNKS)
 
 
 def section_paths(levels: list[tuple[str, int]]) -> list[list[str]]:
