@@ -17,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterable, Iterator
 
@@ -50,32 +51,52 @@ def features(word: str) -> list[str]:
 
 
 class Sparse:
-    """Rows of feature numbers, all with value one, and some dense columns."""
+    """Rows of feature numbers, all with value one, and some dense columns. Entries are kept in both orders, by row and by feature."""
 
     def __init__(self, rows: list[np.ndarray], width: int, dense: np.ndarray):
-        self.width, self.dense = width, dense
-        self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.of = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        self.n = len(rows)
+        self.n, self.width, self.dense = len(rows), width, dense
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        self.of = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        at = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.by_feature = at[np.argsort(self.of, kind="stable")]
+        self.some_rows, self.row_starts = self._starts(sizes)
+        self.some_features, self.feature_starts = self._starts(np.bincount(self.of, minlength=width))
+
+    @staticmethod
+    def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which have entries, and where these begin."""
+        some = np.flatnonzero(sizes)
+        return some, (np.cumsum(sizes) - sizes)[some]
+
+    def with_dense(self, dense: np.ndarray) -> Sparse:
+        out = copy.copy(self)
+        out.dense = dense
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        own = np.bincount(self.at, weights=w[self.of], minlength=self.n)
-        return own + self.dense @ w[self.width :]
+        out = self.dense @ w[self.width :]
+        if len(self.of):
+            out[self.some_rows] += np.add.reduceat(w[: self.width].take(self.of), self.row_starts)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.of, weights=r[self.at], minlength=self.width), self.dense.T @ r])
+        out = np.zeros(self.width)
+        if len(self.of):
+            out[self.some_features] = np.add.reduceat(r.take(self.by_feature), self.feature_starts)
+        return np.concatenate([out, self.dense.T @ r])
 
 
-def fit(x: Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, start: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic regression by limited-memory BFGS; the last dense column is the intercept, without penalty."""
+def fit(x: Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, start: np.ndarray | None = None, some: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by limited-memory BFGS; the last dense column is the intercept, without penalty. ``some`` says which rows count, if not all."""
     w = np.zeros(x.width + x.dense.shape[1]) if start is None else start.copy()
     pen = np.full(len(w), ridge)
     pen[-1] = 0.0
+    some = np.ones(x.n) if some is None else some.astype(float)
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = x.times(w)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(pen * w * w)), x.back(p - y) + pen * w
+        return float(some @ (np.logaddexp(0, z) - y * z) + 0.5 * np.sum(pen * w * w)), x.back(some * (p - y)) + pen * w
 
     f, g = value(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -101,7 +122,7 @@ def fit(x: Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS, star
         s, v = step * d, ng - g
         if s @ v > 1e-12:
             past = [*past[-6:], (s, v)]
-        done = f - nf < 1e-7 * max(1.0, abs(f))
+        done = f - nf < 1e-6 * max(1.0, abs(f))
         w, f, g = w + s, nf, ng
         if done:
             break
@@ -162,16 +183,17 @@ class Chains:
     def train(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chains:
         width, n = len(self.vocabulary), len(rows)
         plain: dict[tuple[int, int], np.ndarray] = {}
+        x = Sparse(rows, width, np.ones((n, 1)))
 
         def fitted(c: int, fold: int, some: np.ndarray, dense: np.ndarray) -> np.ndarray:
             """A model of category c over some rows. It starts from the one over the same rows that knows no other category."""
-            y, x = labels[some, c].astype(float), [rows[i] for i in some]
+            y = labels[:, c].astype(float)
             if (c, fold) not in plain:
-                plain[c, fold] = fit(Sparse(x, width, np.ones((len(some), 1))), y)
-            if dense.shape[1] == 1:
-                return plain[c, fold]
+                plain[c, fold] = fit(x, y, some=some)
             start = plain[c, fold]
-            return fit(Sparse(x, width, dense[some]), y, start=np.concatenate([start[:width], np.zeros(dense.shape[1] - 1), start[width:]]))
+            if dense.shape[1] == 1:
+                return start
+            return fit(x.with_dense(dense), y, start=np.concatenate([start[:width], np.zeros(dense.shape[1] - 1), start[width:]]), some=some)
 
         total = np.zeros((n, len(self.categories)))
         for order in self.orders:
@@ -184,13 +206,12 @@ class Chains:
                     w[-1] = 0.0 if n == 0 else 12.0 if y[0] else -12.0
                     out = np.full(n, w[-1])
                 else:
-                    w = fitted(c, -1, np.arange(n), dense)
+                    w = fitted(c, -1, np.ones(n, bool), dense)
                     out = np.zeros(n)
                     for k in range(FOLDS):
-                        seen, rest = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
-                        if len(seen) and len(rest):
-                            m = fitted(c, k, seen, dense)
-                            out[rest] = Sparse([rows[i] for i in rest], width, dense[rest]).times(m)
+                        rest = folds == k
+                        if rest.any() and not rest.all():
+                            out[rest] = x.with_dense(dense).times(fitted(c, k, ~rest, dense))[rest]
                 models.append(w)
                 f1[c] = best_cut(out, y)[1]
                 total[:, c] += out / len(self.orders)
