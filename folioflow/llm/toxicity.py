@@ -56,8 +56,8 @@ class Sparse:
     def __init__(self, rows: list[np.ndarray], width: int, dense: np.ndarray):
         self.n, self.width, self.dense = len(rows), width, dense
         sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.of = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
-        at = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.of = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+        at = np.repeat(np.arange(self.n), sizes)
         self.by_feature = at[np.argsort(self.of, kind="stable")]
         self.some_rows, self.row_starts = self._starts(sizes)
         self.some_features, self.feature_starts = self._starts(np.bincount(self.of, minlength=width))
