@@ -23,13 +23,14 @@ MODES = ("lines", "paragraphs", "columns", "layout")
 
 @dataclass(frozen=True)
 class Options:
-    """What is read: pages (all if empty), and whether repeated headers and footers of PDF pages stay. Every method gives new options."""
+    """What is read: pages (all if empty), whether repeated headers and footers of PDF pages stay, and fragments drawn again. Every method gives new options."""
 
     pages: tuple[int, ...] = ()
     headers: bool = True
     footers: bool = True
     layout: LayoutConfig = field(default_factory=LayoutConfig)
     mode: str = "lines"
+    repeats: bool = False
 
     def page(self, *numbers: int) -> Options:
         """With more pages; they count from 1."""
@@ -55,10 +56,15 @@ class Options:
     def preserve_layout(self) -> Options:
         return replace(self, mode="layout")
 
+    def with_repeats(self) -> Options:
+        """With every fragment, those of one text at one place, too."""
+        return replace(self, repeats=True)
+
 
 def chosen(fragments: DataFrame, options: Options = Options()) -> DataFrame:
-    """Fragments without repeats, and without the pages, headers and footers that the options leave out. Headers are found on all pages."""
-    own = layout.dedupe(fragments.where("page > 0"))
+    """Fragments without repeats (unless they stay), and without the pages, headers and footers that the options leave out. Headers are found on all pages."""
+    own = fragments.where("page > 0")
+    own = own if options.repeats else layout.dedupe(own)
     if not (options.headers and options.footers):
         found = layout.header_footer(own, options.layout)
         drop = [r for r, stay in (("header", options.headers), ("footer", options.footers)) if not stay]
