@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +23,12 @@ def clusters(fragments: DataFrame, config: LayoutConfig = LayoutConfig()) -> Dat
 
 def aligned(values: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """Values that lie within the tolerance of their neighbour become one boundary: their mean, and how many there are."""
+    # Equal values are counted before they are put in order.
+    values = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(value))
     own = islands(values, keys, [F.col(value)], F.col(value) - before > tolerance, "_g")
-    return own.groupBy(*keys, "_g").agg(F.avg(value).alias("at"), F.count(F.lit(1)).alias("n")).drop("_g")
+    mean = F.sum(F.col(value) * F.col("_c")) / F.sum(F.when(F.col(value).isNotNull(), F.col("_c")))
+    return own.groupBy(*keys, "_g").agg(mean.alias("at"), F.sum("_c").alias("n")).drop("_g")
 
 
 def boundaries(fragments: DataFrame, axis: str, keys: list[str], config: LayoutConfig = LayoutConfig()) -> DataFrame:
@@ -48,10 +53,12 @@ def cells(fragments: DataFrame, rows: DataFrame, cols: DataFrame, keys: list[str
     """
     pick = lambda spans, v: F.get(F.filter(spans, lambda s: (v >= s["low"]) & (v <= s["high"])), F.lit(0))["index"]
     as_array = lambda d, n: d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", "low", "high"))).alias(n))
-    own = fragments.join(as_array(rows, "_rows"), keys).join(as_array(cols, "_cols"), keys)
+    # Fragments with one box are looked up once.
+    own = fragments.groupBy(*keys, "x", "y", "width", "height").agg(F.collect_list(F.struct("x", "seq", "text")).alias("_p"))
+    own = own.join(as_array(rows, "_rows"), keys).join(as_array(cols, "_cols"), keys)
     own = own.withColumn("row", pick(F.col("_rows"), F.col("y") + F.col("height") / 2)).withColumn("col", pick(F.col("_cols"), F.col("x") + F.col("width") / 2))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "text"))), lambda p: p["text"]), " ")
-    return own.where("row is not null and col is not null").groupBy(*keys, "row", "col").agg(text.alias("text"), F.count(F.lit(1)).alias("n"))
+    own = own.where("row is not null and col is not null").groupBy(*keys, "row", "col").agg(F.array_sort(F.flatten(F.collect_list("_p"))).alias("_p"))
+    return own.select(*keys, "row", "col", F.array_join(F.transform("_p", lambda p: p["text"]), " ").alias("text"), F.size("_p").cast("long").alias("n"))
 
 
 def regularity(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,13 +80,11 @@ def _bounds(low: np.ndarray, high: np.ndarray, tolerance: float) -> np.ndarray:
     return np.array([p.mean() for p in np.split(v, np.flatnonzero(np.diff(v) > tolerance) + 1)])
 
 
-def _table(own: pd.DataFrame, drawn: np.ndarray, tolerance: float) -> tuple | None:
-    """Box, visible grid, the four measures and the cells of a cluster; none with under two rows or columns."""
-    own = own.sort_values(["x", "seq"])
-    left, low = own["x"].to_numpy(float), own["y"].to_numpy(float)
-    right, high = left + own["width"].to_numpy(float), low + own["height"].to_numpy(float)
+def _table(left: np.ndarray, low: np.ndarray, width: np.ndarray, height: np.ndarray, texts: np.ndarray, drawn: np.ndarray, tolerance: float) -> tuple | None:
+    """Box, visible grid, the four measures and the cells of a cluster, given in order of x; none with under two rows or columns."""
+    right, high = left + width, low + height
     cols, rows = _bounds(left, right, tolerance), _bounds(low, high, tolerance)[::-1]
-    if len(own) < 4 or len(cols) < 3 or len(rows) < 3:
+    if len(left) < 4 or len(cols) < 3 or len(rows) < 3:
         return None
     even = lambda v: max(0.0, 1 - np.std(v) / np.mean(v))
     regular = (even(-np.diff(rows)) + even(np.diff(cols))) / 2
@@ -88,7 +93,7 @@ def _table(own: pd.DataFrame, drawn: np.ndarray, tolerance: float) -> tuple | No
     at = lambda b, i: np.array([bool((np.abs(drawn[:, [i, i + 2]] - v) < tolerance).all(axis=1).any()) for v in b])
     h, v = at(rows, 1), at(cols, 0)
     cells: dict[tuple[int, int], list] = {}
-    for x0, y0, x1, y1, text in zip(left, low, right, high, own["text"], strict=True):
+    for x0, y0, x1, y1, text in zip(left, low, right, high, texts, strict=True):
         i = np.flatnonzero(((y0 + y1) / 2 <= rows[:-1]) & ((y0 + y1) / 2 >= rows[1:]))
         j = np.flatnonzero(((x0 + x1) / 2 >= cols[:-1]) & ((x0 + x1) / 2 <= cols[1:]))
         if len(i) and len(j):
@@ -96,11 +101,11 @@ def _table(own: pd.DataFrame, drawn: np.ndarray, tolerance: float) -> tuple | No
             c[:4] = min(c[0], x0), min(c[1], y0), max(c[2], x1), max(c[3], y1)
             c[4].append(text)
     made = []
-    for (i, j), (_, y0, x1, _, texts) in sorted(cells.items()):
+    for (i, j), (_, y0, x1, _, own) in sorted(cells.items()):
         # A cell goes on over the intervals that its content reaches into by more than the tolerance.
         down = next((k for k in range(i + 1, len(rows) - 1) if rows[k] - y0 <= tolerance), len(rows) - 1) - i
         across = next((k for k in range(j + 1, len(cols) - 1) if x1 - cols[k] <= tolerance), len(cols) - 1) - j
-        made.append({"row": i, "col": j, "text": " ".join(texts), "row_span": down, "col_span": across})
+        made.append({"row": i, "col": j, "text": " ".join(own), "row_span": down, "col_span": across})
     box = (cols[0], rows[-1], cols[-1] - cols[0], rows[0] - rows[-1])
     return *box, bool((h.sum() + v.sum()) / (len(h) + len(v)) >= 0.5), regular, alignment, (h.mean() + v.mean()) / 2, len(cells) / ((len(rows) - 1) * (len(cols) - 1)), made
 
@@ -111,18 +116,25 @@ def detect_tables(fragments: DataFrame, rules: DataFrame, config: LayoutConfig =
     ``rules`` are drawn lines of doc_id, page, x1, y1, x2 and y2. Rows are from the top.
     """
 
-    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        lines = drawn[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        found = []
-        for key, part in own.groupby(["doc_id", "page", "cluster"]):
-            t = _table(part, lines, config.table_tolerance)
-            if t is not None:
-                found.append((*key, *t))
-        return pd.DataFrame(found, columns=[f.split(" ")[0] for f in TABLE.split("array<")[0].split(", ")])
-
-    own = clusters(fragments, config).select(*[F.col(c).cast("long") for c in (*PAGE, "cluster")], "seq", "text", "x", "y", "width", "height")
-    lines = rules.select(*[F.col(c).cast("long") for c in PAGE], "x1", "y1", "x2", "y2")
-    out = own.groupBy(*PAGE).cogroup(lines.groupBy(*PAGE)).applyInPandas(run, TABLE)
+    names = [f.split(" ")[0] for f in TABLE.split("array<")[0].split(", ")]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for doc, page, cluster, texts, drawn, *box in zip(*[b[c] for c in (*PAGE, "cluster", "text", "drawn", "x", "y", "width", "height")], strict=True):
+                lines = np.array([list(d) for d in drawn], float).reshape(-1, 4) if drawn is not None else np.empty((0, 4))
+                t = _table(*[np.asarray(v, float) for v in box], texts, lines, config.table_tolerance)
+                if t is not None:
+                    found.append((doc, page, cluster, *t))
+            yield pd.DataFrame(found, columns=names)
+
+    keys = [*PAGE, "cluster"]
+    own = clusters(fragments, config).select(*[F.col(c).cast("long") for c in keys], "seq", "text", "x", "y", "width", "height")
+    # A row a cluster, its fragments in order of x, with the page's drawn lines: Python sees batches of them, not a table each.
+    own = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "seq", "y", "width", "height", "text"))).alias("f"))
+    own = own.select(*keys, *[F.col(f"f.{c}").alias(c) for c in ("text", "x", "y", "width", "height")])
+    drawn = rules.select(*[F.col(c).cast("long") for c in PAGE], F.array("x1", "y1", "x2", "y2").alias("d")).groupBy(*PAGE).agg(F.collect_list("d").alias("drawn"))
+    out = own.join(drawn, PAGE, "left").mapInPandas(run, TABLE)
     out = out.withColumn("confidence", confidence(F.col("regular"), F.col("alignment"), F.col("rules"), F.col("occupied")))
     return out.where(F.col("confidence") >= config.table_confidence).drop("regular", "alignment", "rules", "occupied")
 
