@@ -72,9 +72,27 @@ def list_markdown(items: Column, ordered: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat(F.repeat(F.lit("  "), x["level"]), mark(i), x["text"])), "\n")
 
 
+def six_decimals(x: Column) -> Column:
+    """A 32-bit float with six decimals, its exact value rounded half to even, as C prints it.
+
+    Java rounds its shortest decimal text instead. A float has 24 bits and 15625 has 14, so a million times it is exact in 53.
+    """
+    d = x.cast("double")
+    n = F.abs(F.rint(d * 1e6))
+    whole = F.floor(n / 1e6)
+    sign = F.when((d < 0) | (d.cast("string") == "-0.0"), "-").otherwise("")
+    short = F.concat(sign, whole.cast("string"), F.lit("."), F.lpad((n - whole * 1e6).cast("long").cast("string"), 6, "0"))
+    # From 2^23 on a float has no fraction; under 2^63 its digits are a long's.
+    large = F.concat(sign, F.abs(d).cast("long").cast("string"), F.lit(".000000"))
+    named = F.when(F.isnan(d), "nan").when(F.abs(d) == float("inf"), F.concat(sign, F.lit("inf")))
+    return F.when(d.isNull(), F.lit(None).cast("string")).otherwise(
+        F.coalesce(named, F.when(F.abs(d) < 2.0**23, short).when(F.abs(d) < 2.0**62, large).otherwise(F.format_string("%.6f", d)))
+    )
+
+
 def embedding_text(v: Column) -> Column:
     """[a,b,...] with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, six_decimals), ","), F.lit("]"))
 
 
 def with_cell(rows: Column, row: int, column: int, value: Column) -> Column:
