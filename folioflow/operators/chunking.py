@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import SizeConfig
-from folioflow.functions.sentences import sentence_ends, split_to_size
+from folioflow.functions.sentences import byte_ends, split_to_size
 from folioflow.schemas import CHUNKS, FIELDS
+from folioflow.shared import arrow_schema, record_batch, slices
 
 SPACES = re.compile("[\t\n\x0b\x0c\r \u0085   -     　]+")
 #: The words that begin chapters, and how much of what follows belongs to the heading.
@@ -221,18 +222,16 @@ def _finished(doc: object, title: str, c: dict) -> tuple:
     )
 
 
-NAMES = [f.split(" ")[0] for f in re.split(r",\s*(?![^<]*>)", CHUNKS)]
-
-
 def _chunked(config: SizeConfig, detect_headings: bool):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = arrow_schema(CHUNKS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(config, detect_headings)
-        for b in batches:
+        for docs, titles, bodies in slices(batches, "doc_id", "title", "elements"):
             rows = []
-            for doc, title, elements in zip(b["doc_id"], b["title"], b["elements"], strict=True):
-                found = chunker.chunk([e if isinstance(e, dict) else e.asDict(recursive=True) for e in elements])
-                rows += [_finished(doc, title or "", c) for c in found]
-            yield pd.DataFrame(rows, columns=NAMES)
+            for doc, title, elements in zip(docs, titles, bodies, strict=True):
+                rows += [_finished(doc, title or "", c) for c in chunker.chunk(elements)]
+            yield record_batch(rows, schema)
 
     return run
 
@@ -241,25 +240,27 @@ def chunk_elements(elements: DataFrame, config: SizeConfig = SizeConfig(), detec
     """Chunks of documents given as elements. ``titles`` has doc_id and title."""
     own = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("elements"))
     own = own.join(titles.select("doc_id", "title"), "doc_id", "left") if titles is not None else own.withColumn("title", F.lit(""))
-    return own.select("doc_id", "title", "elements").mapInPandas(_chunked(config, detect_headings), CHUNKS)
+    return own.select("doc_id", "title", "elements").mapInArrow(_chunked(config, detect_headings), CHUNKS)
 
 
 def _chunked_texts(config: SizeConfig, detect_headings: bool):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = arrow_schema(CHUNKS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(config, detect_headings)
-        for b in batches:
+        for docs, texts in slices(batches, "doc_id", "text"):
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text in zip(docs, texts, strict=True):
                 elements = [{"page": 1, "type": "paragraph", "text": line} for line in (text or "").split("\n") if line]
                 rows += [_finished(doc, "", c) for c in chunker.chunk(elements)]
-            yield pd.DataFrame(rows, columns=NAMES)
+            yield record_batch(rows, schema)
 
     return run
 
 
 def chunk_documents(docs: DataFrame, config: SizeConfig = SizeConfig(), detect_headings: bool = True) -> DataFrame:
     """Chunks of plain documents, whose lines are paragraphs of one page. Nothing is shuffled, and texts go to the workers as they are."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_chunked_texts(config, detect_headings), CHUNKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunked_texts(config, detect_headings), CHUNKS)
 
 
 def section_paths(levels: list[tuple[str, int]]) -> list[list[str]]:
@@ -274,4 +275,4 @@ def section_paths(levels: list[tuple[str, int]]) -> list[list[str]]:
 
 def sentence_boundaries(text: str) -> list[int]:
     """Byte offsets of sentence ends inside a text."""
-    return [len(text[:i].encode()) for i in sentence_ends(text)]
+    return byte_ends(text)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from folioflow.config import OverlapConfig
 from folioflow.functions import text as X
-from folioflow.functions.sentences import character_overlap, paragraph_list, sentence_ends, strict_sentences
+from folioflow.functions.sentences import byte_ends, character_overlap, paragraph_list, strict_sentences, text_udf
 
 #: What a cut is worth before a heading and after a table or figure, a list, a paragraph, a sentence.
 SCORES = {"heading": 100, "table": 85, "figure": 85, "list": 80, "paragraph": 70, "sentence": 20}
@@ -157,11 +157,6 @@ def sentence_end_near(text: Column, target: int) -> Column:
     return run(text)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _ends(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(lambda t: [len(t[:i].encode()) for i in sentence_ends(t)])
-
-
 def sentence_positions(text: Column) -> Column:
     """Byte offsets of the sentence ends inside a text."""
-    return _ends(text)
+    return text_udf(byte_ends, T.ArrayType(T.LongType()))(text)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions.sentences import loose_sentences, split_to_size
 from folioflow.config import Limit, SizeConfig
-from folioflow.operators.chunking import NAMES, _finished, level_of, list_text, next_path, table_text
+from folioflow.operators.chunking import _finished, level_of, list_text, next_path, table_text
 from folioflow.schemas import CHUNKS, FIELDS
+from folioflow.shared import arrow_schema, record_batch, slices
 
 
 @dataclass(frozen=True)
@@ -110,16 +111,14 @@ def section_chunks(elements: list[dict], config: SectionConfig) -> list[dict]:
 def chunk_sections(elements: DataFrame, config: SectionConfig = SectionConfig()) -> DataFrame:
     """Chunks by section of documents given as elements."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, es in zip(b["doc_id"], b["elements"], strict=True):
-                found = section_chunks([e if isinstance(e, dict) else e.asDict(recursive=True) for e in es], config)
-                rows += [_finished(doc, "", c) for c in found]
-            yield pd.DataFrame(rows, columns=NAMES)
+    schema = arrow_schema(CHUNKS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, bodies in slices(batches, "doc_id", "elements"):
+            yield record_batch([_finished(doc, "", c) for doc, es in zip(docs, bodies, strict=True) for c in section_chunks(es, config)], schema)
 
     own = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("elements"))
-    return own.mapInPandas(run, CHUNKS)
+    return own.mapInArrow(run, CHUNKS)
 
 
 def kept_with_next(elements: DataFrame) -> Column:
