@@ -103,16 +103,14 @@ def document_texts(fragments: DataFrame, options: Options = Options()) -> DataFr
 
 def fragment_elements(fragments: DataFrame, options: Options = Options()) -> DataFrame:
     """Elements of positioned text: headings and paragraphs in reading order, without what the options leave out."""
-    own = chosen(fragments, options)
+    kept = chosen(fragments, options)
     # The columns of a page are read one after the other: each is a page of its own to the line finder.
-    own = layout.columns(own, options.layout).withColumn("page", F.col("page") * 100 + F.col("column")).drop("column")
-    paragraphs = layout.paragraphs(layout.lines(own, options.layout), options.layout)
-    titles = layout.headings(paragraphs, own, options.layout).select(*layout.PAGE, "paragraph", F.col("level").cast("int").alias("level"))
-    out = paragraphs.join(titles, [*layout.PAGE, "paragraph"], "left")
+    own = layout.columns(kept, options.layout).withColumn("page", F.col("page") * 100 + F.col("column")).drop("column")
+    out = layout.marked_headings(layout.paragraphs(layout.lines(own, options.layout), options.layout), kept, options.layout)
     real = F.floor(F.col("page") / 100).cast("int")
     pos = F.row_number().over(Window.partitionBy("doc_id", real).orderBy("page", "paragraph")) - 1
     empty = {c: t for c, t in (f.strip().split(" ", 1) for f in re.split(r",\s*(?![^<]*>)", ELEMENTS))}
-    made = {"doc_id": F.col("doc_id"), "page": real, "pos": pos.cast("int"), "type": F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph"), "text": F.col("text"), "level": F.col("level")}
+    made = {"doc_id": F.col("doc_id"), "page": real, "pos": pos.cast("int"), "type": F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph"), "text": F.col("text"), "level": F.col("level").cast("int")}
     return out.select(*[made[c].alias(c) if c in made else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
 
 
